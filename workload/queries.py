@@ -129,7 +129,9 @@ def _order_json(spark, sf):
         F.lit(" ").alias("blank"),
     )
     return items.select(
-        F.concat_ws("-", F.lit("line"), "l_orderkey", "l_linenumber").alias("source_id"),
+        F.concat_ws(
+            "-", F.lit("line"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate")
+        ).alias("source_id"),
         F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
     )
 
@@ -245,8 +247,8 @@ def model_tags(spark, sf):
         F.upper("event_type"),
         F.lit('", 7, null], "key_fields": '),
         F.col("props"),
-        F.lit(', "confidence": '),
-        F.round(F.col("value") / 10, 2).cast("string"),
+        F.lit(', "confidence": 0.'),
+        F.get_json_object("props", "$.k"),
         F.lit("}"),
     )
     answer = (
