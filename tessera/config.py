@@ -59,10 +59,9 @@ class ChunkRules:
     text_lines: int = 40
     separator: str = "---"
     id_prefix: int = 120
-    json_depth: int = 12
 
     def __post_init__(self):
-        if min(self.json_lines, self.text_lines, self.id_prefix, self.json_depth) < 1:
+        if min(self.json_lines, self.text_lines, self.id_prefix) < 1:
             raise ValueError("chunk sizes must be positive")
 
 

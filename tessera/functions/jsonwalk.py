@@ -1,128 +1,44 @@
-"""Nested JSON text to ordered `path: value` lines, inside one row.
-
-Each level of the walk is one array transform over the nodes of the same document, so
-the whole walk needs no shuffle and keeps document order by construction.
-"""
+"""Nested JSON text to ordered `path: value` lines, inside one row."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let
-from tessera.functions.text import strip
-
-
-def _kind(value: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
-def _node(path: Column, raw: Column, kind: Column) -> Column:
-    return F.struct(path.alias("path"), raw.alias("raw"), kind.alias("kind"))
-
-
-def _unclear(raw: Column) -> Column:
-    """True when the text alone does not tell a string from a container or a boolean."""
-    return raw.rlike(r"^[\[{]") | raw.isin("true", "false")
-
-
-def _kinds(raws: Column, parsed: Column) -> Column:
-    """Node kinds of sibling values; they are parsed again only when a text is unclear."""
-    plain = F.transform(raws, lambda r: F.when(r.isNull(), "VOID").otherwise("SCALAR"))
-    return F.when(F.exists(raws, lambda r: F.coalesce(_unclear(r), F.lit(False))), parsed).otherwise(plain)
-
-
-def _object_children(node: Column) -> Column:
-    entries = F.map_entries(F.from_json(node["raw"], "map<string,string>"))
-    parsed = F.transform(
-        F.map_entries(F.from_json(node["raw"], "map<string,variant>")), lambda e: _kind(e["value"])
-    )
-
-    def child(entry, kind):
-        path = F.when(node["path"] == "", entry["key"]).otherwise(
-            F.concat(node["path"], F.lit("."), entry["key"])
-        )
-        return _node(path, entry["value"], kind)
 
-    return let(
-        entries, lambda es: F.zip_with(es, _kinds(F.transform(es, lambda e: e["value"]), parsed), child)
-    )
+def _lines(document: str) -> Iterator[str]:
+    todo = [("", json.loads(document))]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict):
+            start = f"{path}." if path else ""
+            todo.extend([(start + key, child) for key, child in node.items()][::-1])
+        elif isinstance(node, list):
+            todo.extend([(f"{path}[{i}]", child) for i, child in enumerate(node)][::-1])
+        elif shown := str(node).strip():
+            yield f"{path}: {shown}"
 
 
-def _array_children(node: Column) -> Column:
-    parsed = F.transform(F.from_json(node["raw"], "array<variant>"), _kind)
+def json_lines(text: Column) -> Column:
+    """Array of `path: value` lines of a JSON document, in document order.
 
-    def children(raws: Column) -> Column:
-        pairs = F.zip_with(raws, _kinds(raws, parsed), lambda v, k: F.struct(v.alias("raw"), k.alias("kind")))
-        return F.transform(
-            pairs,
-            lambda p, i: _node(
-                F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")), p["raw"], p["kind"]
-            ),
-        )
+    Dict keys are joined with dots and list items are `[i]`; null reads `None` and booleans `True`
+    and `False`; blank values and empty containers give no line. Text that is not JSON stops the job.
 
-    return let(F.from_json(node["raw"], "array<string>"), children)
-
-
-def _expand(nodes: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            nodes,
-            lambda n: F.when(n["kind"] == "OBJECT", _object_children(n))
-            .when(n["kind"] == "ARRAY", _array_children(n))
-            .otherwise(F.array(n)),
-        )
-    )
-
-
-def _leaf_line(node: Column) -> Column:
-    value = (
-        F.when(node["kind"] == "VOID", F.lit("None"))
-        .when(node["kind"] == "BOOLEAN", F.initcap(node["raw"]))
-        .otherwise(F.coalesce(node["raw"], F.lit("None")))
-    )
-    value = strip(value)
-    return F.when(value != "", F.concat(node["path"], F.lit(": "), value))
-
-
-def json_lines(text: Column, depth: int = 12) -> Column:
-    """Array of `path: value` lines of a JSON document.
-
-    Dict keys are joined with dots, list items are `[i]`, blank values and empty containers
-    give no line. A document nested deeper than `depth`, or one that is not JSON, stops the
-    job: nothing is dropped silently.
+    This is an Arrow function because Spark's own JSON functions parse a document once per level and
+    side (several times slower here), need a depth known in advance, sort or repeat keys, and print
+    large numbers differently.
     """
-    bad = F.raise_error(F.lit("source is not valid JSON")).cast("array<string>")
-    deep = F.raise_error(F.lit(f"JSON nested deeper than {depth} levels")).cast("array<string>")
-
-    def lines(nodes: Column) -> Column:
-        closed = F.filter(F.transform(nodes, _leaf_line), lambda line: line.isNotNull())
-        is_open = F.exists(nodes, lambda n: n["kind"].isin("OBJECT", "ARRAY"))
-        return F.when(is_open, deep).otherwise(closed)
-
-    def walk(root: Column) -> Column:
-        kind = _kind(root)
-        raw = F.when(kind == "STRING", F.try_variant_get(root, "$", "string")).otherwise(text)
-        nodes = F.array(_node(F.lit(""), raw, kind))
-        for _ in range(depth):
-            nodes = _expand(nodes)
-        return F.when(root.isNull(), bad).otherwise(let(nodes, lines))
-
-    return let(F.try_parse_json(text), walk)
-
-
-def json_depth(text: Column) -> Column:
-    """Nesting depth of a JSON text, for choosing `depth`."""
-    marks = F.regexp_replace(
-        F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", ""
-    )
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
-    def step(acc, mark):
-        now = acc["now"] + F.when(mark.isin("{", "["), 1).when(mark == "", 0).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+    @F.pandas_udf("array<string>")
+    def walk(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: None if d is None else list(_lines(d)))
 
-    return F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["top"])
+    return walk(text)
 
 
 def canonical_json_hash(text: Column) -> Column:

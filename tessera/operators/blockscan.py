@@ -25,7 +25,10 @@ from tessera.operators.topk import top_k
 
 FILTER_COLUMNS = ("domain", "source_id", "version")
 FILTERS = {"domain": "domains", "source_id": "source_ids", "version": "versions"}
-OUT = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64())])
+OUT = pa.schema(
+    [("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64()), ("k", pa.int32())]
+)
+OUT_DDL = "query_id bigint, chunk_id string, score double, k int"
 SUB_BLOCK = 256
 
 
@@ -154,6 +157,49 @@ class PhraseScorer:
         return full.T[queries].astype(float)
 
 
+class TermScorer:
+    """BM25 of the tokens of a chunk against the weighted terms of the queries."""
+
+    column = "words"
+    keep_zero = False
+    ROWS = 256
+
+    def __init__(self, k1: float, b: float, table: pa.Table, digits: int):
+        self.k1, self.b, self.digits = k1, b, digits
+        lists = [w or [] for w in table.column("weights").to_pylist()]
+        terms = sorted({w["term"] for ws in lists for w in ws})
+        self.vocabulary = pa.array(terms, pa.string())
+        place = {t: i for i, t in enumerate(terms)}
+        self.weight = np.zeros((len(terms), len(lists)))
+        for q, ws in enumerate(lists):
+            for w in ws:
+                self.weight[place[w["term"]], q] = w["idf"]
+        means = [m for m in table.column("mean").to_pylist() if m]
+        self.mean = means[0] if means else 1.0
+
+    def usable(self, column: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
+
+    def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        weight = self.weight[:, queries]
+        parts = [self._rows(column.take(pa.array(rows[i : i + self.ROWS])), weight) for i in range(0, len(rows), self.ROWS)]
+        return np.round(np.concatenate(parts).T, self.digits)
+
+    def _rows(self, lists: pa.Array, weight: np.ndarray) -> np.ndarray:
+        lengths = np.asarray(pc.list_value_length(lists))
+        known = pc.index_in(lists.flatten(), value_set=self.vocabulary)
+        found = np.asarray(pc.fill_null(known, -1)).astype(np.int64)
+        owner = np.repeat(np.arange(len(lists)), lengths)[found >= 0]
+        size = len(self.vocabulary)
+        pair, tf = np.unique(owner * size + found[found >= 0], return_counts=True)
+        row, term = pair // size, pair % size
+        damp = self.k1 * (1 - self.b + self.b * lengths[row] / self.mean)
+        counts = np.zeros((len(lists), size))
+        counts[row, term] = tf * (self.k1 + 1) / (tf + damp)
+        used = np.unique(term)
+        return counts[:, used] @ weight[used]
+
+
 class Best:
     """Running top-k per query; ties go to the smaller chunk id."""
 
@@ -186,6 +232,7 @@ class Best:
                     pa.array(np.repeat(self.block.ids, sizes), pa.int64()),
                     pa.array([i for _, i in flat], pa.string()),
                     pa.array([-s for s, _ in flat], pa.float64()),
+                    pa.array(np.repeat(self.block.k, sizes), pa.int32()),
                 ],
                 schema=OUT,
             )
@@ -242,7 +289,7 @@ def _score_batch(batch: pa.RecordBatch, block: QueryBlock, best: Best) -> None:
                     best.add(q, scores[keep], ids[rows[keep]])
 
 
-def _bounded(queries: DataFrame, cfg: SearchConfig) -> pa.Table | None:
+def bounded(queries: DataFrame, cfg: SearchConfig) -> pa.Table | None:
     """The query batch as a table when it is inside the size bound, else None."""
     head = queries.limit(cfg.block_queries + 1).toArrow()
     if head.num_rows > cfg.block_queries or head.nbytes > cfg.block_bytes:
@@ -265,15 +312,19 @@ def _pushed(chunks: DataFrame, table: pa.Table) -> DataFrame:
     return chunks
 
 
-def best_chunks(chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig) -> DataFrame:
+def best_chunks(
+    chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig, table: pa.Table | None = None
+) -> DataFrame:
     """Top-k chunks per query with rank (query_id, chunk_id, score, rank).
 
     `queries` holds query_id, k, domains, source_ids, versions (empty list: no constraint), the
     columns the scorer reads and, for cell search, `cells`; `chunks` holds chunk_id, the filter
-    columns, the scored column and, for cell search, `cell`.
+    columns, the scored column and, for cell search, `cell`. `table` is the same batch of queries
+    when the caller has already found it to be bounded.
     """
     digits = cfg.score_digits
-    table = _bounded(queries, cfg)
+    if table is None:
+        table = bounded(queries, cfg)
     if table is not None:
         sent = chunks.sparkSession.sparkContext.broadcast(table)
 
@@ -285,18 +336,11 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchCon
                     _score_batch(batch, block, best)
             yield from best.rows()
 
-        found = _pushed(chunks, table).mapInArrow(run, _ddl())
+        found = _pushed(chunks, table).mapInArrow(run, OUT_DDL)
     else:
         found = _tiled(chunks, queries, scorer_of, cfg)
     order = [F.desc("score"), F.col("chunk_id")]
-    sizes = queries.select("query_id", "k")
-    return top_k(found.join(sizes, "query_id"), ["query_id"], order, k="k").select(
-        "query_id", "chunk_id", "score", "rank"
-    )
-
-
-def _ddl() -> str:
-    return "query_id bigint, chunk_id string, score double"
+    return top_k(found, ["query_id"], order, k="k").select("query_id", "chunk_id", "score", "rank")
 
 
 def _tiled(chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig) -> DataFrame:
@@ -320,4 +364,4 @@ def _tiled(chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig)
         return pa.Table.from_batches(list(best.rows()), schema=OUT)
 
     keys = ["_part", "_tile"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _ddl())
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, OUT_DDL)

@@ -11,13 +11,14 @@ from tessera.config import ChunkRules
 from tessera.functions.jsonwalk import json_lines
 from tessera.functions.text import non_blank_lines, numbered_id, strip
 from tessera.operators.numbering import running_start
+from tessera.operators.unnest import unnest
 
 CHUNK_COLUMNS = ["chunk_id", "order", "section", "text"]
 
 
-def json_documents(sources: DataFrame, depth: int = 12, column: str = "json") -> DataFrame:
+def json_documents(sources: DataFrame, column: str = "json") -> DataFrame:
     """Adds `text` (one line per leaf) and source type 'json'; drops the JSON column."""
-    lines = json_lines(F.col(column), depth)
+    lines = json_lines(F.col(column))
     return (
         sources.withColumn("text", F.array_join(lines, "\n"))
         .withColumn("source_type", F.lit("json"))
@@ -101,7 +102,7 @@ def qna_chunks(blocks: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFrame
     )
     placed = running_start(pieces, "source_id", "pos", "_n", "_first").drop("_n", "block")
     keep = [c for c in placed.columns if c not in ("_pieces", "_first", "pos")]
-    rows = placed.select(*keep, "_first", F.posexplode("_pieces").alias("_i", "text"))
+    rows = unnest(placed, [*keep, "_first"], F.col("_pieces"), "text", "_i")
     return _finish(
         rows.withColumn("order", F.col("_first") + F.col("_i"))
         .withColumn("section", F.lit("qna"))
@@ -132,7 +133,7 @@ def chunk_documents(docs: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFr
     pieces = F.when(web, F.col("_parts")).otherwise(line_windows(F.col("_parts"), size))
     keep = [c for c in prepared.columns if c != "_parts"]
     section = F.when(web, "qna").when(is_json, "json_fields").otherwise("text")
-    rows = prepared.select(*keep, section.alias("section"), F.posexplode(pieces).alias("order", "text"))
+    rows = unnest(prepared, [*keep, section.alias("section")], pieces, "text", "order")
     return _finish(rows, rules)
 
 
@@ -153,9 +154,7 @@ def custom_chunks(docs: DataFrame, segment: Callable, rules: ChunkRules = ChunkR
         )
 
     keep = [c for c in docs.columns if c != "text"]
-    found = docs.select(
-        *keep, F.posexplode(pieces("text", "source_id", "source_type")).alias("order", "_piece")
-    )
+    found = unnest(docs, keep, pieces("text", "source_id", "source_type"), "_piece", "order")
     rows = found.select(*keep, "order", F.col("_piece.section"), F.col("_piece.text"))
     return _finish(rows, rules)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,35 +11,38 @@ from pyspark.sql import functions as F
 from tessera.config import SearchConfig
 from tessera.functions.arrays import no_strings, strings
 from tessera.functions.text import clean, tokens
-from tessera.operators.blockscan import FILTER_COLUMNS, PhraseScorer, best_chunks
+from tessera.operators.blockscan import FILTER_COLUMNS, PhraseScorer, TermScorer, best_chunks, bounded
 from tessera.operators.topk import top_k
+from tessera.operators.unnest import unnest
 from tessera.sources.cut import cut
 
 
+# Row of the statistics that stands for the whole corpus; no token is empty.
+CORPUS = ""
+
+
 @dataclass(frozen=True)
 class TermIndex:
-    """Term counts per chunk, chunk counts per term, and the two corpus totals.
+    """Tokens per chunk and their statistics.
+
+    words: chunk_id, domain, source_id, version, words, length
+    stats: term, df (chunks with the term), tokens (their total length); the row of the empty
+           term counts all chunks and tokens
 
-    postings: chunk_id, domain, source_id, version, length, term, tf
-    terms:    term, df
-    corpus:   chunks, tokens (one row)
+    Tokens stay with their chunk, so no term, however common, decides a partition's size.
     """
 
-    postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    words: DataFrame
+    stats: DataFrame
 
     def write(self, path: str) -> None:
-        # Postings stay grouped by chunk: no term, however common, decides a partition's size.
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        spark = self.postings.sparkSession
-        stored = spark.read.parquet(f"{path}/postings")
-        term_counts(stored).write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        stored = self.words.sparkSession.read.parquet(f"{path}/words")
+        term_stats(stored).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "TermIndex":
-        return TermIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus")])
+        return TermIndex(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/stats"))
 
 
 def chunk_words(chunks: DataFrame) -> DataFrame:
@@ -53,41 +57,28 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
     return words.withColumn("length", F.size("words"))
 
 
-def count_terms(words: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Term frequency per chunk; rows are spread by chunk id, so counting needs no more shuffle."""
-    spread = words.repartition("chunk_id")
-    rows = spread.select("chunk_id", *FILTER_COLUMNS, "length", F.explode("words").alias("term"))
+def term_stats(words: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Statistics per term and of the corpus in one pass; `only` keeps the terms of a query batch."""
+    terms = F.concat(F.array(F.lit(CORPUS)), F.array_distinct("words"))
+    rows = unnest(words, ["length"], terms, "term")
     if only is not None:
-        rows = rows.join(only, "term", "left_semi")
-    keys = ["chunk_id", *FILTER_COLUMNS, "length", "term"]
-    return rows.groupBy(*keys).agg(F.count("*").alias("tf"))
-
-
-def term_counts(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+        rows = rows.join(_with_corpus(only), "term", "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
 
 
 def build_term_index(chunks: DataFrame, only: DataFrame | None = None) -> TermIndex:
-    """Lazy index; `only` (distinct `term` rows) keeps just the terms a query batch needs."""
+    """Lazy index of a chunk table."""
     words = chunk_words(chunks)
-    postings = count_terms(words, only)
-    corpus = words.agg(F.count("*").alias("chunks"), F.sum("length").alias("tokens"))
-    return TermIndex(postings, term_counts(postings), corpus)
+    return TermIndex(words, term_stats(words, only))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """One row per query and distinct token."""
-    return queries.select(
-        "query_id",
-        "k",
-        "domains",
-        "source_ids",
-        "versions",
-        F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"),
-    )
+    keep = ["query_id", "k", "domains", "source_ids", "versions"]
+    return unnest(queries, keep, F.array_distinct(tokens(F.col("query_text"))), "term")
 
 
-def passes_filters(query: DataFrame | None = None):
+def passes_filters():
     """Join condition: the chunk meets the query's domain, source and version lists."""
 
     def met(values: str, column: str):
@@ -104,34 +95,55 @@ def bm25_hits(
 ) -> DataFrame:
     """BM25 top-k per query with rank.
 
-    Statistics are those of the whole table, so a filter never changes a score. The terms of
-    the queries meet the postings in an equi-join; both sides carry a salt of the chunk id, so
-    when the join has to shuffle, a word found in most chunks is split over several tasks.
+    Statistics are those of the whole table, so a filter never changes a score. A bounded query
+    batch travels to the chunks with the weights of its terms; a larger one is joined on terms.
     """
     wanted = query_terms(queries)
     if index is None:
         index = build_term_index(chunks, wanted.select("term").distinct())
-    totals = index.corpus.select(
-        F.col("chunks").cast("double").alias("n"), (F.col("tokens") / F.col("chunks")).alias("mean")
-    )
-    n = totals.select("n").scalar()
-    mean = totals.select("mean").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    salts = cfg.term_salts
-    asked = (
-        wanted.join(index.terms, "term")
-        .withColumn("idf", idf)
-        .drop("df")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    weighted = _weighted_terms(wanted, index)
+    asked = weighted.groupBy("query_id").agg(
+        *[F.first(c).alias(c) for c in ("k", "domains", "source_ids", "versions", "mean")],
+        F.collect_list(F.struct("term", "idf")).alias("weights"),
     )
-    postings = index.postings.withColumn(
-        "_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int")
+    table = bounded(asked, cfg)
+    if table is None:
+        return joined_bm25(index.words, weighted, cfg)
+    scorer = partial(TermScorer, cfg.bm25_k1, cfg.bm25_b)
+    return best_chunks(index.words, asked, scorer, cfg, table)
+
+
+def _weighted_terms(wanted: DataFrame, index: TermIndex) -> DataFrame:
+    # The statistics of the query's terms are few; written, they are computed once.
+    stats = cut(index.stats.join(_with_corpus(wanted.select("term").distinct()), "term", "left_semi"))
+    totals = F.struct(F.col("df").cast("double").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))
+    corpus = stats.filter(F.col("term") == CORPUS).select(totals.alias("c")).scalar()
+    n, df = corpus["n"], F.col("df")
+    return wanted.join(stats.drop("tokens"), "term").select(
+        *wanted.columns, F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), corpus["mean"].alias("mean")
     )
+
+
+def _with_corpus(terms: DataFrame) -> DataFrame:
+    return terms.union(terms.sparkSession.range(1).select(F.lit(CORPUS)))
+
+
+def joined_bm25(words: DataFrame, weighted: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """BM25 as an equi-join of query terms and chunk terms, for query batches of any size.
+
+    Both sides carry a salt of the chunk id, so a word found in most chunks is split over tasks.
+    """
+    salts = cfg.term_salts
+    asked = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = unnest(words, ["chunk_id", *FILTER_COLUMNS, "length"], F.col("words"), "term")
+    rows = rows.join(weighted.select("term").distinct(), "term", "left_semi")
+    counted = rows.groupBy("chunk_id", *FILTER_COLUMNS, "length", "term").agg(F.count("*").alias("tf"))
+    salted = counted.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
     k1, b = cfg.bm25_k1, cfg.bm25_b
     tf, length = F.col("tf"), F.col("length")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
     scored = (
-        postings.join(asked, ["term", "_salt"])
+        salted.join(asked, ["term", "_salt"])
         .filter(passes_filters())
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(part), cfg.score_digits).alias("score"), F.first("k").alias("k"))

@@ -55,7 +55,7 @@ def incremental_ingest(
     status = cut(status)
     changed = status.filter(~F.col("unchanged"))
     todo = sources.join(changed.select("source_id"), "source_id", "left_semi")
-    docs = json_documents(todo.select("source_id", "title", "json"), cfg.chunks.json_depth)
+    docs = json_documents(todo.select("source_id", "title", "json"))
     existing = None if clear_source else stored
     records = cut(build_chunks(docs, cfg, existing, tagger, embed))
     if not changed.isEmpty():

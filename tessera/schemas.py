@@ -59,8 +59,6 @@ QUERY = T.StructType(
     ]
 )
 
-HIT = "query_id bigint, chunk_id string, score double"
-
 MANIFEST = T.StructType(
     [
         T.StructField("source_id", T.StringType()),

@@ -31,6 +31,7 @@ from tessera.operators.health import (
 from tessera.operators.lexical import bm25_hits, lexical_hits, scan_hits
 from tessera.operators.models import dimension_profile
 from tessera.operators.tagging import entities, key_field_map, key_fields, merge_model_tags, rule_domain, with_rule_tags
+from tessera.operators.unnest import unnest
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
 from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
 from tessera.plans.build import build_chunks, new_chunks_only
@@ -83,7 +84,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenize_counts(spark, sf):
-    rows = spread(table(spark, sf, "documents")).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    rows = unnest(spread(table(spark, sf, "documents")), [], T.tokens(F.col("text")), "token")
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -112,7 +113,7 @@ def qna_chunk_rows(spark, sf):
 
 def json_flatten_props(spark, sf):
     events = spread(table(spark, sf, "events"))
-    return events.select("event_id", F.posexplode(json_lines(F.col("props"), 2)).alias("pos", "line"))
+    return unnest(events, ["event_id"], json_lines(F.col("props")), "line", "pos")
 
 
 def _order_json(spark, sf):
@@ -137,12 +138,11 @@ def _order_json(spark, sf):
 
 
 def json_flatten_nested(spark, sf):
-    rows = _order_json(spark, sf)
-    return rows.select("source_id", F.posexplode(json_lines(F.col("json"), 4)).alias("pos", "line"))
+    return unnest(_order_json(spark, sf), ["source_id"], json_lines(F.col("json")), "line", "pos")
 
 
 def json_chunks(spark, sf):
-    docs = json_documents(_order_json(spark, sf), 4)
+    docs = json_documents(_order_json(spark, sf))
     rules = ChunkRules(json_lines=4)
     return chunk_documents(docs, rules).select("source_id", "order", "section", "text", "chunk_id")
 
@@ -203,7 +203,7 @@ def key_field_flags(spark, sf):
         "json",
         F.replace(F.replace(F.col("json"), F.lit('"numbers"'), F.lit('"per_week_gbp"')), F.lit('"part"'), F.lit('"name"')),
     )
-    docs = json_documents(renamed, 4)
+    docs = json_documents(renamed)
     return docs.select("source_id", key_fields(F.col("text")).alias("k")).select(
         "source_id",
         "k.contains_price",
@@ -216,10 +216,8 @@ def key_field_flags(spark, sf):
 
 
 def hash_embed(spark, sf):
-    docs = documents(spark, sf).select("source_id", hash_embedding(F.col("text")).alias("v"))
-    return docs.select("source_id", F.posexplode("v").alias("dim", "value")).withColumn(
-        "value", F.round("value", 6)
-    )
+    rows = unnest(documents(spark, sf), ["source_id"], hash_embedding(F.col("text")), "value", "dim")
+    return rows.withColumn("value", F.round("value", 6))
 
 
 def embedding_dims(spark, sf):
