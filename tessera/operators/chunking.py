@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ def custom_chunks(docs: DataFrame, segment: Callable, rules: ChunkRules = ChunkR
 
     The function runs on Arrow batches of documents, one document at a time.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<struct<section:string,text:string>>")
     def pieces(texts: pd.Series, source_ids: pd.Series, types: pd.Series) -> pd.Series:
         return pd.Series(
