@@ -102,6 +102,28 @@ class CosineScorer:
     keep_zero = True
 
 
+class TermTable:
+    """Which queries hold a term and with what weight, as flat arrays (memory follows the entries)."""
+
+    def __init__(self, entries: list[list[tuple[str, float]]]):
+        rows = sorted((t, q, w) for q, pairs in enumerate(entries) for t, w in pairs)
+        self.terms = sorted({t for t, _, _ in rows})
+        self.queries = np.array([q for _, q, _ in rows], dtype=np.int64)
+        self.weights = np.array([w for _, _, w in rows], dtype=float)
+        place = {t: i for i, t in enumerate(self.terms)}
+        sizes = np.bincount([place[t] for t, _, _ in rows], minlength=len(self.terms)) if rows else np.zeros(0, int)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def add_up(self, rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n_rows: int, n_queries: int) -> np.ndarray:
+        """Matrix (row, query) of the sums of value * weight over the given (row, term) pairs."""
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        shift = np.repeat(self.starts[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        entry = np.arange(sizes.sum()) + shift if len(terms) else np.zeros(0, np.int64)
+        cell = np.repeat(rows, sizes) * n_queries + self.queries[entry]
+        added = np.repeat(values, sizes) * self.weights[entry]
+        return np.bincount(cell, added, n_rows * n_queries).reshape(n_rows, n_queries)
+
+
 class PhraseScorer:
     """Substring scores: 3 for the whole query, 1 per query token, 2 for an equal tag.
 
@@ -111,22 +133,19 @@ class PhraseScorer:
 
     column = "text_lc"
     keep_zero = False
+    ROWS = 64
 
     def __init__(self, table: pa.Table, digits: int):
         import ahocorasick
 
         self.texts = table.column("query_lc").to_pylist()
         lists = [t or [] for t in table.column("tokens").to_pylist()]
-        vocabulary = {t: i for i, t in enumerate(sorted({t for ts in lists for t in ts}))}
-        self.weight = np.zeros((len(vocabulary), len(lists)), dtype=np.float32)
-        for q, ts in enumerate(lists):
-            for t in ts:
-                self.weight[vocabulary[t], q] += 1
-        self.total = self.weight.sum(axis=0)
+        self.table = TermTable([[(t, ts.count(t)) for t in set(ts)] for ts in lists])
+        self.total = np.array([len(ts) for ts in lists], dtype=float)
         self.finder = None
-        if vocabulary:
+        if self.table.terms:
             self.finder = ahocorasick.Automaton()
-            for token, i in vocabulary.items():
+            for i, token in enumerate(self.table.terms):
                 self.finder.add_word(token, i)
             self.finder.make_automaton()
         self.equal = {}
@@ -136,25 +155,27 @@ class PhraseScorer:
     def usable(self, column: pa.Array) -> np.ndarray:
         return np.asarray(pc.fill_null(pc.not_equal(column, ""), False))
 
-    def _row(self, text: str, tags: list) -> np.ndarray:
-        found = {i for _, i in self.finder.iter(text)} if self.finder is not None else ()
-        row = self.weight[list(found)].sum(axis=0) if found else np.zeros(len(self.texts), np.float32)
-        for q in np.flatnonzero(row == self.total):
-            if self.texts[q] in text:
-                row[q] += 3
-        for q in {q for tag in tags for q in self.equal.get(tag, ())}:
-            row[q] += 2
-        return row
-
     def bind(self, batch: pa.RecordBatch) -> None:
         self.tags = batch.column(batch.schema.get_field_index("tags_lc"))
 
     def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        picked = pa.array(rows)
-        texts = column.take(picked).to_pylist()
-        tags = self.tags.take(picked).to_pylist()
-        full = np.stack([self._row(t, g or []) for t, g in zip(texts, tags)])
-        return full.T[queries].astype(float)
+        parts = [self._rows(column, rows[i : i + self.ROWS]) for i in range(0, len(rows), self.ROWS)]
+        return np.concatenate(parts)[:, queries].T
+
+    def _rows(self, column: pa.Array, rows: np.ndarray) -> np.ndarray:
+        texts = column.take(pa.array(rows)).to_pylist()
+        tags = self.tags.take(pa.array(rows)).to_pylist()
+        found = [{i for _, i in self.finder.iter(t)} if self.finder else set() for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        terms = np.array([i for f in found for i in f], dtype=np.int64)
+        out = self.table.add_up(owner, terms, np.ones(len(terms)), len(texts), len(self.texts))
+        for r, q in np.argwhere(out == self.total):
+            if self.texts[q] in texts[r]:
+                out[r, q] += 3
+        for r, own in enumerate(tags):
+            for q in {q for tag in own or () for q in self.equal.get(tag, ())}:
+                out[r, q] += 2
+        return out
 
 
 class TermScorer:
@@ -167,37 +188,28 @@ class TermScorer:
     def __init__(self, k1: float, b: float, table: pa.Table, digits: int):
         self.k1, self.b, self.digits = k1, b, digits
         lists = [w or [] for w in table.column("weights").to_pylist()]
-        terms = sorted({w["term"] for ws in lists for w in ws})
-        self.vocabulary = pa.array(terms, pa.string())
-        place = {t: i for i, t in enumerate(terms)}
-        self.weight = np.zeros((len(terms), len(lists)))
-        for q, ws in enumerate(lists):
-            for w in ws:
-                self.weight[place[w["term"]], q] = w["idf"]
-        means = [m for m in table.column("mean").to_pylist() if m]
-        self.mean = means[0] if means else 1.0
+        self.table = TermTable([[(w["term"], w["idf"]) for w in ws] for ws in lists])
+        self.vocabulary = pa.array(self.table.terms, pa.string())
+        self.n = len(lists)
+        self.mean = next((m for m in table.column("mean").to_pylist() if m), 1.0)
 
     def usable(self, column: pa.Array) -> np.ndarray:
         return np.asarray(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
 
     def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        weight = self.weight[:, queries]
-        parts = [self._rows(column.take(pa.array(rows[i : i + self.ROWS])), weight) for i in range(0, len(rows), self.ROWS)]
-        return np.round(np.concatenate(parts).T, self.digits)
+        parts = [self._rows(column.take(pa.array(rows[i : i + self.ROWS]))) for i in range(0, len(rows), self.ROWS)]
+        return np.round(np.concatenate(parts)[:, queries].T, self.digits)
 
-    def _rows(self, lists: pa.Array, weight: np.ndarray) -> np.ndarray:
+    def _rows(self, lists: pa.Array) -> np.ndarray:
         lengths = np.asarray(pc.list_value_length(lists))
         known = pc.index_in(lists.flatten(), value_set=self.vocabulary)
         found = np.asarray(pc.fill_null(known, -1)).astype(np.int64)
         owner = np.repeat(np.arange(len(lists)), lengths)[found >= 0]
-        size = len(self.vocabulary)
+        size = max(1, len(self.vocabulary))
         pair, tf = np.unique(owner * size + found[found >= 0], return_counts=True)
         row, term = pair // size, pair % size
         damp = self.k1 * (1 - self.b + self.b * lengths[row] / self.mean)
-        counts = np.zeros((len(lists), size))
-        counts[row, term] = tf * (self.k1 + 1) / (tf + damp)
-        used = np.unique(term)
-        return counts[:, used] @ weight[used]
+        return self.table.add_up(row, term, tf * (self.k1 + 1) / (tf + damp), len(lists), self.n)
 
 
 class Best:

@@ -101,21 +101,23 @@ def bm25_hits(
     wanted = query_terms(queries)
     if index is None:
         index = build_term_index(chunks, wanted.select("term").distinct())
-    weighted = _weighted_terms(wanted, index)
+    # The statistics of the query terms are few; written, they are computed once and their size is known.
+    terms = _with_corpus(wanted.select("term").distinct())
+    stats = cut(index.stats.join(terms, "term", "left_semi"))
+    weighted = weighted_terms(wanted, stats)
     asked = weighted.groupBy("query_id").agg(
         *[F.first(c).alias(c) for c in ("k", "domains", "source_ids", "versions", "mean")],
         F.collect_list(F.struct("term", "idf")).alias("weights"),
     )
     table = bounded(asked, cfg)
     if table is None:
-        return joined_bm25(index.words, weighted, cfg)
+        return joined_bm25(index.words, weighted, stats, cfg)
     scorer = partial(TermScorer, cfg.bm25_k1, cfg.bm25_b)
     return best_chunks(index.words, asked, scorer, cfg, table)
 
 
-def _weighted_terms(wanted: DataFrame, index: TermIndex) -> DataFrame:
-    # The statistics of the query's terms are few; written, they are computed once.
-    stats = cut(index.stats.join(_with_corpus(wanted.select("term").distinct()), "term", "left_semi"))
+def weighted_terms(wanted: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds the inverse document frequency of each term and the mean chunk length."""
     totals = F.struct(F.col("df").cast("double").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))
     corpus = stats.filter(F.col("term") == CORPUS).select(totals.alias("c")).scalar()
     n, df = corpus["n"], F.col("df")
@@ -128,15 +130,16 @@ def _with_corpus(terms: DataFrame) -> DataFrame:
     return terms.union(terms.sparkSession.range(1).select(F.lit(CORPUS)))
 
 
-def joined_bm25(words: DataFrame, weighted: DataFrame, cfg: SearchConfig) -> DataFrame:
+def joined_bm25(words: DataFrame, weighted: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFrame:
     """BM25 as an equi-join of query terms and chunk terms, for query batches of any size.
 
-    Both sides carry a salt of the chunk id, so a word found in most chunks is split over tasks.
+    Terms are counted per chunk first. Both sides of the join carry a salt of the chunk id, so a
+    word found in most chunks is split over tasks.
     """
     salts = cfg.term_salts
     asked = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = unnest(words, ["chunk_id", *FILTER_COLUMNS, "length"], F.col("words"), "term")
-    rows = rows.join(weighted.select("term").distinct(), "term", "left_semi")
+    rows = rows.join(stats.select("term"), "term", "left_semi")
     counted = rows.groupBy("chunk_id", *FILTER_COLUMNS, "length", "term").agg(F.count("*").alias("tf"))
     salted = counted.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
     k1, b = cfg.bm25_k1, cfg.bm25_b

@@ -16,6 +16,8 @@ from tessera.functions.vectors import is_embedded, norm
 from tessera.operators.blockscan import FILTER_COLUMNS, CosineScorer, best_chunks
 
 MAX_CELLS = 65536
+# Distances held at once while a batch is assigned.
+DISTANCES = 4_000_000
 
 
 def exact_vector_hits(
@@ -40,13 +42,21 @@ class Cells:
         half = (centers * centers).sum(axis=1) / 2
         n = min(n, len(centers))
 
-        @F.pandas_udf("array<int>")
-        def probe(vs: pd.Series) -> pd.Series:
-            matrix = np.stack([np.asarray(v, dtype=float) for v in vs]) if len(vs) else np.zeros((0, 1))
+        rows = max(1, DISTANCES // len(centers))
+
+        def near(vs: list) -> list:
+            matrix = np.stack([np.asarray(v, dtype=float) for v in vs])
             length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             unit = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-            near = half - unit @ centers.T if len(vs) else np.zeros((0, len(centers)))
-            return pd.Series(list(np.argsort(near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+            far = half - unit @ centers.T
+            if n == 1:
+                return list(far.argmin(axis=1)[:, None].astype(np.int32))
+            return list(np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32))
+
+        @F.pandas_udf("array<int>")
+        def probe(vs: pd.Series) -> pd.Series:
+            parts = [near(list(vs.iloc[i : i + rows])) for i in range(0, len(vs), rows)]
+            return pd.Series([cells for part in parts for cells in part], dtype=object)
 
         return probe(vectors.cast("array<double>"))
 
