@@ -26,9 +26,16 @@ from tessera.operators.topk import top_k
 FILTER_COLUMNS = ("domain", "source_id", "version")
 FILTERS = {"domain": "domains", "source_id": "source_ids", "version": "versions"}
 OUT = pa.schema(
-    [("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64()), ("k", pa.int32())]
+    [
+        ("query_id", pa.int64()),
+        ("chunk_id", pa.string()),
+        ("source_id", pa.string()),
+        ("score", pa.float64()),
+        ("k", pa.int32()),
+    ]
 )
-OUT_DDL = "query_id bigint, chunk_id string, score double, k int"
+OUT_DDL = "query_id bigint, chunk_id string, source_id string, score double, k int"
+HIT_COLUMNS = ["query_id", "chunk_id", "source_id", "score", "rank"]
 SUB_BLOCK = 256
 
 
@@ -220,7 +227,7 @@ class Best:
         self.kept = [[] for _ in block.ids]
         self.floor = np.full(len(block.ids), -np.inf)
 
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, sources: np.ndarray) -> None:
         k = self.block.k[query]
         at = np.flatnonzero(scores >= self.floor[query])
         if len(at) > k:
@@ -229,7 +236,7 @@ class Best:
         if not len(at):
             return
         kept = self.kept[query]
-        kept.extend(zip((-scores[at]).tolist(), ids[at].tolist()))
+        kept.extend(zip((-scores[at]).tolist(), ids[at].tolist(), sources[at].tolist()))
         kept.sort()
         del kept[k:]
         if len(kept) == k:
@@ -238,12 +245,13 @@ class Best:
     def rows(self) -> Iterator[pa.RecordBatch]:
         sizes = [len(kept) for kept in self.kept]
         if sum(sizes):
-            flat = [pair for kept in self.kept for pair in kept]
+            flat = [hit for kept in self.kept for hit in kept]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(self.block.ids, sizes), pa.int64()),
-                    pa.array([i for _, i in flat], pa.string()),
-                    pa.array([-s for s, _ in flat], pa.float64()),
+                    pa.array([chunk for _, chunk, _ in flat], pa.string()),
+                    pa.array([source for _, _, source in flat], pa.string()),
+                    pa.array([-s for s, _, _ in flat], pa.float64()),
                     pa.array(np.repeat(self.block.k, sizes), pa.int32()),
                 ],
                 schema=OUT,
@@ -258,7 +266,10 @@ def _score_batch(batch: pa.RecordBatch, block: QueryBlock, best: Best) -> None:
         return
     if hasattr(scorer, "bind"):
         scorer.bind(batch)
-    ids = batch.column(batch.schema.get_field_index("chunk_id")).to_numpy(zero_copy_only=False)
+    ids, sources = [
+        pc.fill_null(batch.column(batch.schema.get_field_index(name)), "").to_numpy(zero_copy_only=False)
+        for name in ("chunk_id", "source_id")
+    ]
     every = np.arange(len(block.ids))
     if block.probes is None:
         meetings = [(np.flatnonzero(usable), every)]
@@ -296,9 +307,9 @@ def _score_batch(batch: pa.RecordBatch, block: QueryBlock, best: Best) -> None:
                 if mask is not None:
                     keep &= mask[rows]
                 if keep.all():
-                    best.add(q, scores, ids[rows])
+                    best.add(q, scores, ids[rows], sources[rows])
                 elif keep.any():
-                    best.add(q, scores[keep], ids[rows[keep]])
+                    best.add(q, scores[keep], ids[rows[keep]], sources[rows[keep]])
 
 
 def bounded(queries: DataFrame, cfg: SearchConfig) -> pa.Table | None:
@@ -327,7 +338,7 @@ def _pushed(chunks: DataFrame, table: pa.Table) -> DataFrame:
 def best_chunks(
     chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig, table: pa.Table | None = None
 ) -> DataFrame:
-    """Top-k chunks per query with rank (query_id, chunk_id, score, rank).
+    """Top-k chunks per query with rank (query_id, chunk_id, source_id, score, rank).
 
     `queries` holds query_id, k, domains, source_ids, versions (empty list: no constraint), the
     columns the scorer reads and, for cell search, `cells`; `chunks` holds chunk_id, the filter
@@ -352,7 +363,7 @@ def best_chunks(
     else:
         found = _tiled(chunks, queries, scorer_of, cfg)
     order = [F.desc("score"), F.col("chunk_id")]
-    return top_k(found, ["query_id"], order, k="k").select("query_id", "chunk_id", "score", "rank")
+    return top_k(found, ["query_id"], order, k="k").select(*HIT_COLUMNS)
 
 
 def _tiled(chunks: DataFrame, queries: DataFrame, scorer_of, cfg: SearchConfig) -> DataFrame:

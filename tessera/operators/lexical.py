@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from tessera.config import SearchConfig
 from tessera.functions.arrays import no_strings, strings
 from tessera.functions.text import clean, tokens
-from tessera.operators.blockscan import FILTER_COLUMNS, PhraseScorer, TermScorer, best_chunks, bounded
+from tessera.operators.blockscan import (
+    FILTER_COLUMNS,
+    HIT_COLUMNS,
+    PhraseScorer,
+    TermScorer,
+    best_chunks,
+    bounded,
+)
 from tessera.operators.topk import top_k
 from tessera.operators.unnest import unnest
 from tessera.sources.cut import cut
@@ -148,12 +155,12 @@ def joined_bm25(words: DataFrame, weighted: DataFrame, stats: DataFrame, cfg: Se
     scored = (
         salted.join(asked, ["term", "_salt"])
         .filter(passes_filters())
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", "chunk_id", "source_id")
         .agg(F.round(F.sum(part), cfg.score_digits).alias("score"), F.first("k").alias("k"))
         .filter(F.col("score") > 0)
     )
     order = [F.desc("score"), F.col("chunk_id")]
-    return top_k(scored, ["query_id"], order, k="k").select("query_id", "chunk_id", "score", "rank")
+    return top_k(scored, ["query_id"], order, k="k").select(*HIT_COLUMNS)
 
 
 def scan_hits(

@@ -16,6 +16,7 @@ from tessera.operators.lexical import TermIndex, lexical_hits
 from tessera.operators.vector_search import Cells, cell_vector_hits, exact_vector_hits
 from tessera.sources.cut import cut
 from tessera.schemas import PAYLOAD_COLUMNS, QUERY
+from tessera.sources.store import KeyedTable
 
 
 class SearchResult(NamedTuple):
@@ -92,7 +93,7 @@ def text_hits(chunks, prepared, cfg: SearchConfig, index: TermIndex | None = Non
 
 
 def hybrid_search(
-    chunks: DataFrame,
+    chunks: DataFrame | KeyedTable,
     queries: DataFrame,
     cfg: SearchConfig = SearchConfig(),
     index: TermIndex | None = None,
@@ -101,16 +102,19 @@ def hybrid_search(
 ) -> SearchResult:
     """Ranked evidence and per-query diagnostics.
 
-    `chunks` is a chunk table with unique chunk ids. Both channels read narrow columns only and
+    `chunks` has unique chunk ids. Given as a stored table, the payload of the candidates is read from
+    the partitions of their sources only. Both channels read narrow columns only and
     their few hits are written before they are merged: each channel runs once, and the join that
     fetches text and metadata of the candidates is planned with their true size.
     """
+    table = chunks if isinstance(chunks, KeyedTable) else None
+    chunks = table.read() if table else chunks
     prepared = cut(prepare_queries(queries, cfg, embed))
     near = vector_hits(chunks, prepared, cfg, cells)
     said = text_hits(chunks, prepared, cfg, index)
     hits = cut(stack_channels(near, said))
     candidates = merge_hits(hits)
-    payload = chunks.select(*PAYLOAD_COLUMNS)
+    payload = (table.partitions_of(hits) if table else chunks).select(*PAYLOAD_COLUMNS)
     found = rank_candidates(candidates.join(payload, "chunk_id"), prepared, cfg.weights, cfg.score_digits)
     evidence = evidence_rows(found)
     return SearchResult(evidence, query_diagnostics(queries, prepared, hits, evidence, cfg))

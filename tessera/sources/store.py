@@ -50,6 +50,10 @@ class KeyedTable:
         stored = self._stored().filter(F.col(BUCKET).isin(buckets))
         return stored.filter(F.col(self.bucket_by).isin(sources)).drop(BUCKET)
 
+    def partitions_of(self, sources: DataFrame) -> DataFrame:
+        """Rows of the partitions that the given rows' sources live in, as a pruned scan."""
+        return self._stored().filter(F.col(BUCKET).isin(self._touched(sources))).drop(BUCKET)
+
     def _touched(self, *parts: DataFrame) -> list[int]:
         found = set()
         for part in parts:

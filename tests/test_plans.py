@@ -12,6 +12,7 @@ from tessera.plans.build import build_chunks
 from tessera.plans.ingest import incremental_ingest, pipeline_hash
 from tessera.plans.planner import active_filters, plan_prompts, plan_queries
 from tessera.plans.relax import search_with_relaxation
+from tessera.plans.search import hybrid_search
 from tessera.sources.files import json_files, json_records
 from tessera.sources.payloads import json_payloads, qna_pairs
 from tessera.sources.queries import query_file, query_json, query_texts
@@ -131,6 +132,11 @@ def test_table_changes(spark, tmp_path):
     table.upsert(chunks.filter("source_id = 'sport_1'").withColumn("version", F.lit("v2")))
     assert table.read().filter("version = 'v2'").count() == 1 and table.read().count() == 12
     assert table.scan_sources(["sport_1", "course_2"]).count() == 2
+    queries = spark.createDataFrame([(1, "topic 3 gym", 4)], "query_id long, query_text string, top_k int")
+    plain = hybrid_search(table.read(), queries).evidence
+    stored = hybrid_search(table, queries).evidence
+    assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect()))
+    assert "kb_bucket" in stored._jdf.queryExecution().executedPlan().toString()
     gone = chunks.filter("domain = 'sports'").select("source_id")
     table.delete_sources(gone)
     assert {r.domain for r in table.read().select("domain").distinct().collect()} == {"courses"}

@@ -77,11 +77,10 @@ CHUNKS = windows(DOCS, 40)
 
 
 def hash_vector(x: str, dim: int = 64) -> str:
-    digest = f"(sha256({clean(x)} || '|0') || sha256({clean(x)} || '|1'))"
-    return (
-        f"list_transform(range({dim}), lambda i: CAST(('0x' || substr({digest}, i * 2 + 1, 2)) AS INTEGER)"
-        "::DOUBLE / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE)"
-    )
+    digest = f"[sha256({clean(x)} || '|0') || sha256({clean(x)} || '|1')]"
+    byte = "CAST(('0x' || substr(d, i * 2 + 1, 2)) AS INTEGER)"
+    scaled = f"{byte}::DOUBLE / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE"
+    return f"list_transform({digest}, lambda d: list_transform(range({dim}), lambda i: {scaled}))[1]"
 
 
 # The chunk table with domain and tags, and the same with vectors.
@@ -326,7 +325,7 @@ ORACLES = {
       a AS (SELECT *, event_type IN ('click', 'purchase', 'view') AS good FROM b)
       SELECT event_id, CASE WHEN good AND value < 5 THEN 'sports' ELSE hint END AS domain,
         CASE WHEN good THEN event_type || '|7|None' ELSE 'User From' END AS entity_tags,
-        CASE WHEN good THEN json_extract_string(props, '$.k') END AS extra_k,
+        CASE WHEN good THEN json_extract_string(props, '$.k') END AS extra_k, 'false' AS flag,
         round(CASE WHEN good THEN greatest(0.35, conf) WHEN event_type = 'signup' THEN 0.6 ELSE 0.35 END::DOUBLE, 6) AS confidence
       FROM a""",
     "build_chunks": f"""WITH {TAGGED} SELECT chunk_id, source_id, 'txt' AS source_type, text, domain, array_to_string(tags, '|') AS tags,
@@ -369,6 +368,8 @@ ORACLES = {
       SELECT doc_id, shared, round(least(0.1::DOUBLE * shared, 0.2::DOUBLE), 6) AS boost FROM s""",
     "context_build": f"""{HYBRID} SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context, count(*) AS n_chunks, true AS asks
       FROM h WHERE rank <= 3 GROUP BY 1""",
+    "tag_prompts": f"""WITH {CHUNKS} SELECT chunk_id, 'Source ID: ' || source_id || chr(10) || 'Source type: txt' || chr(10) || 'Hint domain: '
+      || coalesce({domain("source_id", "text")}, 'unknown') || chr(10) || chr(10) || 'Chunk:' || chr(10) || substring(text, 1, 5000) AS prompt FROM chunks""",
     "plan_clean": f"""WITH t AS (SELECT item_id AS query_id, text, {clean("text")} AS whole, length(text) AS n, {SECOND} AS w FROM benchmark),
       v AS (SELECT *, NOT (n > 260 OR (n > 200 AND n <= 220)) AND (n // 6) BETWEEN 1 AND 50 AND n <= 250 AS ok FROM t),
       w AS (SELECT *, strpos(lower(text), w) AS found, strpos(lower(text), 'zz') AS z FROM v)

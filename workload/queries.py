@@ -30,11 +30,19 @@ from tessera.operators.health import (
 )
 from tessera.operators.lexical import bm25_hits, lexical_hits, scan_hits
 from tessera.operators.models import dimension_profile
-from tessera.operators.tagging import entities, key_field_map, key_fields, merge_model_tags, rule_domain, with_rule_tags
+from tessera.operators.tagging import (
+    entities,
+    key_field_map,
+    key_fields,
+    merge_model_tags,
+    rule_domain,
+    tag_prompts,
+    with_rule_tags,
+)
 from tessera.operators.unnest import unnest
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
 from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
-from tessera.plans.build import build_chunks, new_chunks_only
+from tessera.plans.build import build_chunks, complete_documents, new_chunks_only
 from tessera.plans.context import answer_prompts, build_context
 from tessera.sources.cut import cut, shared_folder
 from tessera.plans.ingest import incremental_ingest
@@ -267,6 +275,7 @@ def model_tags(spark, sf):
         "domain",
         joined("entity_tags").alias("entity_tags"),
         F.element_at("extra", "k").alias("extra_k"),
+        F.element_at(key_field_map(F.col("key_fields"), F.col("extra")), "contains_price").alias("flag"),
         F.round("confidence", 6).alias("confidence"),
     )
 
@@ -310,24 +319,24 @@ def _vector_queries(spark, sf):
 
 
 def cosine_topk(spark, sf):
-    return exact_vector_hits(_vectors(spark, sf), _vector_queries(spark, sf), SEARCH)
+    return exact_vector_hits(_vectors(spark, sf), _vector_queries(spark, sf), SEARCH).drop("source_id")
 
 
 def ivf_topk(spark, sf):
     vectors = _vectors(spark, sf)
     cells = train_cells(vectors, 16)
     celled = assign_cells(vectors, cells)
-    return cell_vector_hits(celled, _vector_queries(spark, sf), cells, SEARCH)
+    return cell_vector_hits(celled, _vector_queries(spark, sf), cells, SEARCH).drop("source_id")
 
 
 def scan_search(spark, sf):
     queries = filter_lists(complete_queries(plain_queries(spark, sf))).withColumn("k", F.lit(32))
-    return scan_hits(chunk_table(spark, sf), queries, SEARCH)
+    return scan_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
 
 
 def bm25_search(spark, sf):
     queries = filter_lists(complete_queries(plain_queries(spark, sf))).withColumn("k", F.lit(32))
-    return bm25_hits(chunk_table(spark, sf), queries, SEARCH)
+    return bm25_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
 
 
 def metadata_filters(spark, sf):
@@ -423,7 +432,7 @@ def text_mode_ladder(spark, sf):
         F.regexp_replace(F.lower(F.element_at(F.split("text", " "), 2)), "^.|[^a-z]", "").alias("query_text"),
     )
     queries = filter_lists(complete_queries(words)).withColumn("k", F.lit(20)).filter("query_text <> ''")
-    return lexical_hits(chunk_table(spark, sf), queries, SEARCH)
+    return lexical_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
 
 
 def tag_boosts(spark, sf):
@@ -455,6 +464,12 @@ def report_rows(spark, sf):
 # --- plans of queries ------------------------------------------------------------------------
 
 
+def tagging_prompts(spark, sf):
+    """User prompt of every chunk for a tagging model."""
+    chunks = complete_documents(chunk_documents(documents(spark, sf)))
+    return tag_prompts(with_rule_tags(chunks, RULES)).select("chunk_id", "prompt")
+
+
 def plan_clean(spark, sf):
     """Planner answers made of the benchmark texts: clean, chatty, wrong and missing."""
     n = F.length("user_text")
@@ -660,6 +675,7 @@ QUERIES = {
     "tag_overlap_boost": tag_boosts,
     "context_build": context_texts,
     "evidence_report": report_rows,
+    "tag_prompts": tagging_prompts,
     "plan_clean": plan_clean,
     "query_batch": query_batch,
     "shared_filter_batch": shared_filter_batch,
