@@ -109,6 +109,11 @@ class CosineScorer:
     keep_zero = True
 
 
+def rows_at_once(queries: int) -> int:
+    """Chunks scored together, fewer for larger blocks, so that the summed entries stay small."""
+    return max(1, min(256, 50_000 // max(1, queries)))
+
+
 class TermTable:
     """Which queries hold a term and with what weight, as flat arrays (memory follows the entries)."""
 
@@ -140,12 +145,12 @@ class PhraseScorer:
 
     column = "text_lc"
     keep_zero = False
-    ROWS = 64
 
     def __init__(self, table: pa.Table, digits: int):
         import ahocorasick
 
         self.texts = table.column("query_lc").to_pylist()
+        self.step = rows_at_once(len(self.texts))
         lists = [t or [] for t in table.column("tokens").to_pylist()]
         self.table = TermTable([[(t, ts.count(t)) for t in set(ts)] for ts in lists])
         self.total = np.array([len(ts) for ts in lists], dtype=float)
@@ -166,7 +171,7 @@ class PhraseScorer:
         self.tags = batch.column(batch.schema.get_field_index("tags_lc"))
 
     def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        parts = [self._rows(column, rows[i : i + self.ROWS]) for i in range(0, len(rows), self.ROWS)]
+        parts = [self._rows(column, rows[i : i + self.step]) for i in range(0, len(rows), self.step)]
         return np.concatenate(parts)[:, queries].T
 
     def _rows(self, column: pa.Array, rows: np.ndarray) -> np.ndarray:
@@ -190,7 +195,6 @@ class TermScorer:
 
     column = "words"
     keep_zero = False
-    ROWS = 256
 
     def __init__(self, k1: float, b: float, table: pa.Table, digits: int):
         self.k1, self.b, self.digits = k1, b, digits
@@ -198,13 +202,14 @@ class TermScorer:
         self.table = TermTable([[(w["term"], w["idf"]) for w in ws] for ws in lists])
         self.vocabulary = pa.array(self.table.terms, pa.string())
         self.n = len(lists)
+        self.step = rows_at_once(self.n)
         self.mean = next((m for m in table.column("mean").to_pylist() if m), 1.0)
 
     def usable(self, column: pa.Array) -> np.ndarray:
         return np.asarray(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
 
     def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        parts = [self._rows(column.take(pa.array(rows[i : i + self.ROWS]))) for i in range(0, len(rows), self.ROWS)]
+        parts = [self._rows(column.take(pa.array(rows[i : i + self.step]))) for i in range(0, len(rows), self.step)]
         return np.round(np.concatenate(parts)[:, queries].T, self.digits)
 
     def _rows(self, lists: pa.Array) -> np.ndarray:

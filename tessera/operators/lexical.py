@@ -79,6 +79,13 @@ def build_term_index(chunks: DataFrame, only: DataFrame | None = None) -> TermIn
     return TermIndex(words, term_stats(words, only))
 
 
+def index_for(chunks: DataFrame, texts: DataFrame) -> TermIndex:
+    """Index whose statistics cover the tokens of the given `query_text` rows, computed once."""
+    terms = unnest(texts, [], F.array_distinct(tokens(F.col("query_text"))), "term").distinct()
+    words = chunk_words(chunks)
+    return TermIndex(words, cut(term_stats(words, terms)))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """One row per query and distinct token."""
     keep = ["query_id", "k", "domains", "source_ids", "versions"]

@@ -43,10 +43,11 @@ def incremental_ingest(
     is touched, and the manifest is written last: a run that dies is simply run again.
     """
     fingerprint = pipeline_hash(cfg)
-    stored = table.read()
+    # Only the partitions that the incoming sources live in are read.
+    stored = table.partitions_of(sources)
     status = source_status(
         sources.select("source_id", "source_path", "title", "source_hash"),
-        manifest.read(),
+        manifest.partitions_of(sources),
         source_counts(stored),
         fingerprint,
     )
@@ -64,7 +65,7 @@ def incremental_ingest(
         else:
             table.upsert(records)
     new = records.groupBy("source_id").agg(F.count("*").alias("new_records"))
-    now = source_counts(table.read()).withColumnRenamed("records_in_db", "_now")
+    now = source_counts(table.partitions_of(status)).withColumnRenamed("records_in_db", "_now")
     report = cut(
         status.join(new, "source_id", "left")
         .join(now, "source_id", "left")

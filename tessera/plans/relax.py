@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.config import SearchConfig
 from tessera.functions.arrays import no_strings
+from tessera.operators.lexical import index_for
+from tessera.plans.search import complete_queries, hybrid_search, rows_of
 from tessera.sources.cut import cut
-from tessera.plans.search import complete_queries, hybrid_search
+from tessera.sources.store import KeyedTable
 
 
 class RelaxedResult(NamedTuple):
@@ -40,7 +42,7 @@ ATTEMPTS = (
 
 
 def search_with_relaxation(
-    chunks: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig(), **search
+    chunks: DataFrame | KeyedTable, queries: DataFrame, cfg: SearchConfig = SearchConfig(), **search
 ) -> RelaxedResult:
     """Searches in up to three attempts; each later one runs only for unanswered queries.
 
@@ -48,6 +50,10 @@ def search_with_relaxation(
     """
     full = complete_queries(queries)
     waiting = full
+    if cfg.text_mode != "scan" and search.get("index") is None:
+        # Term statistics do not depend on filters, so all attempts can share them.
+        texts = full.select("query_text").unionByName(bare(full).select("query_text"))
+        search["index"] = index_for(rows_of(chunks), texts)
     evidence, attempts, diagnostics = [], [], []
     for number, name, relax in ATTEMPTS:
         found = hybrid_search(chunks, relax(waiting), cfg, **search)

@@ -92,6 +92,10 @@ def text_hits(chunks, prepared, cfg: SearchConfig, index: TermIndex | None = Non
     return lexical_hits(chunks, asked, cfg, index)
 
 
+def rows_of(chunks: DataFrame | KeyedTable) -> DataFrame:
+    return chunks.read() if isinstance(chunks, KeyedTable) else chunks
+
+
 def hybrid_search(
     chunks: DataFrame | KeyedTable,
     queries: DataFrame,
@@ -108,7 +112,7 @@ def hybrid_search(
     fetches text and metadata of the candidates is planned with their true size.
     """
     table = chunks if isinstance(chunks, KeyedTable) else None
-    chunks = table.read() if table else chunks
+    chunks = rows_of(chunks)
     prepared = cut(prepare_queries(queries, cfg, embed))
     near = vector_hits(chunks, prepared, cfg, cells)
     said = text_hits(chunks, prepared, cfg, index)

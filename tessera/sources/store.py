@@ -83,10 +83,14 @@ class KeyedTable:
         touched = self._touched(sources)
         current = self._stored().filter(F.col(BUCKET).isin(touched))
         kept = without_sources(current, sources)
-        filled = {r[0] for r in kept.select(BUCKET).distinct().collect()} | set(self._touched(new))
+        # An overwrite does not touch a partition that got no rows, so those are dropped afterwards.
+        bare = sorted(set(touched) - set(self._touched(new)))
+        emptied = set(bare)
+        if bare:
+            left = kept.filter(F.col(BUCKET).isin(bare)).select(BUCKET).distinct()
+            emptied -= {r[0] for r in left.collect()}
         self._write(kept.drop(BUCKET).unionByName(new.select(*[f.name for f in self.schema])))
-        # An overwrite does not touch a partition that got no rows.
-        for bucket in set(touched) - filled:
+        for bucket in emptied:
             self._drop_bucket(bucket)
 
     def delete_sources(self, sources: DataFrame) -> None:

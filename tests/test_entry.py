@@ -9,7 +9,7 @@ import __spark_entry__ as driver
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"ivf_topk", "evidence_report"}
+NO_SQL = {"ivf_topk"}
 # Run here; the comparison tool covers all of them.
 COMPARED = [
     "normalize_text", "line_chunks", "qna_chunks", "json_chunks", "entities", "model_tags", "cosine_topk", "scan_search",

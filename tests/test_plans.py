@@ -22,16 +22,16 @@ from tessera.streaming.watch import watch_folder
 
 
 def test_plans_without_a_model(spark):
-    df = spark.createDataFrame([(1, "  Butler   Court "), (2, " ")], "query_id long, user_text string")
+    df = spark.createDataFrame([(1, "  Maple   Court "), (2, " ")], "query_id long, user_text string")
     rows = plan_queries(df).collect()
-    assert [(r.query_id, r.query_text, r.top_k, r.domains, r.domain) for r in rows] == [(1, "Butler Court", 8, [], None)]
+    assert [(r.query_id, r.query_text, r.top_k, r.domains, r.domain) for r in rows] == [(1, "Maple Court", 8, [], None)]
     prompts = plan_prompts(df).first()
-    assert "Butler Court" in prompts.prompt and "allowed_domains" in prompts.system_prompt
+    assert "Maple Court" in prompts.prompt and "allowed_domains" in prompts.system_prompt
 
 
 GOOD = {
-    "query_text": " butler  court price ", "top_k": "12", "domain": "Accommodation", "domains": ["accommodation", "moon", "Sports"],
-    "entity_tags": ["butler court", "BUTLER COURT", " ", "Gym"], "section": "Fees", "sections": ["fees", "roof", "qna"],
+    "query_text": " maple  court price ", "top_k": "12", "domain": "Accommodation", "domains": ["accommodation", "moon", "Sports"],
+    "entity_tags": ["maple court", "MAPLE COURT", " ", "Gym"], "section": "Fees", "sections": ["fees", "roof", "qna"],
     "source_ids": ["a", "A", "b"], "version": "v1", "vector_k": 40, "text_k": None, "extra": 1,
 }
 
@@ -45,21 +45,21 @@ CHANGES = [
 
 
 def test_plan_validation(spark):
-    text = "How much is Butler Court?"
+    text = "How much is Maple Court?"
     rows = [(i, text, json.dumps({**GOOD, **change})) for i, (change, _) in enumerate(CHANGES)]
     df = spark.createDataFrame(rows, "query_id long, user_text string, answer string")
     for r in plan_queries(df, "answer").collect():
         if not CHANGES[r.query_id][1]:
             assert (r.query_text, r.top_k, r.domains, r.entity_tags, r.plan_valid) == (text, 8, [], [], False)
             continue
-        assert r.plan_valid and r.query_text == "butler court price"
+        assert r.plan_valid and r.query_text == "maple court price"
         assert r.domains[0] == r.domain
-        assert r.entity_tags == ["Butler Court", "Gym"] and r.source_ids == ["a", "b"]
+        assert r.entity_tags == ["Maple Court", "Gym"] and r.source_ids == ["a", "b"]
 
 
 def test_plan_cleaning(spark):
     df = spark.createDataFrame(
-        [(1, "Q Butler Court", "note " + json.dumps(GOOD) + " end"), (2, "Q", "junk"), (3, "Q", None)],
+        [(1, "Q Maple Court", "note " + json.dumps(GOOD) + " end"), (2, "Q", "junk"), (3, "Q", None)],
         "query_id long, user_text string, answer string",
     )
     a, b, c = plan_queries(df, "answer").orderBy("query_id").collect()

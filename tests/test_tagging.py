@@ -23,16 +23,16 @@ def test_rule_order(spark):
 
 def test_entities_and_key_fields(spark):
     text = "\n".join(
-        ["halls[0].name: Butler Court", "x.title: BUTLER court", "y: No Marker", "question: ", "z.name: a: b",
+        ["halls[0].name: Maple Court", "x.title: MAPLE court", "y: No Marker", "question: ", "z.name: a: b",
          "per_week_gbp: 1", " fees 2 ", "fees 3", "fees 4", "Entry requirements, campus, answer"]
     )
     row = spark.createDataFrame([(text,)], "t string").select(entities(F.col("t")).alias("e"), key_fields(F.col("t")).alias("k")).first()
-    assert row.e[:2] == ["Butler Court", "a: b"] and "No Marker" in row.e
+    assert row.e[:2] == ["Maple Court", "a: b"] and "No Marker" in row.e
     assert len(row.e) == len({e.lower() for e in row.e}) <= 12
     k = row.k
     assert (k.contains_price, k.contains_entry_requirements, k.contains_location, k.contains_question_answer) == (True,) * 4
     assert k.sample_price_lines == ["per_week_gbp: 1", "fees 2", "fees 3"]
-    assert k.sample_name == "Butler Court"
+    assert k.sample_name == "Maple Court"
     none = spark.createDataFrame([("plain",)], "t string").select(key_fields(F.col("t")).alias("k")).first().k
     assert none.sample_price_lines is None and none.sample_name is None and not none.contains_price
 

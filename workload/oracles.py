@@ -368,6 +368,10 @@ ORACLES = {
       SELECT doc_id, shared, round(least(0.1::DOUBLE * shared, 0.2::DOUBLE), 6) AS boost FROM s""",
     "context_build": f"""{HYBRID} SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context, count(*) AS n_chunks, true AS asks
       FROM h WHERE rank <= 3 GROUP BY 1""",
+    "evidence_report": f"""{HYBRID}
+      SELECT query_id, p.domain, (SELECT count(*) FROM h_near v WHERE v.query_id = p.query_id) AS vector_hits,
+        count(h.chunk_id) AS result_count, string_agg(h.chunk_id, '|' ORDER BY h.rank) AS chunk_ids
+      FROM planned p LEFT JOIN h USING (query_id) GROUP BY query_id, p.domain""",
     "tag_prompts": f"""WITH {CHUNKS} SELECT chunk_id, 'Source ID: ' || source_id || chr(10) || 'Source type: txt' || chr(10) || 'Hint domain: '
       || coalesce({domain("source_id", "text")}, 'unknown') || chr(10) || chr(10) || 'Chunk:' || chr(10) || substring(text, 1, 5000) AS prompt FROM chunks""",
     "plan_clean": f"""WITH t AS (SELECT item_id AS query_id, text, {clean("text")} AS whole, length(text) AS n, {SECOND} AS w FROM benchmark),

@@ -39,6 +39,7 @@ from tessera.operators.tagging import (
     tag_prompts,
     with_rule_tags,
 )
+from tessera.operators.topk import latest_per_key, top_k
 from tessera.operators.unnest import unnest
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
 from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
@@ -370,13 +371,13 @@ def _hits_with_payload(spark, sf):
         entities(F.col("text"), 3).alias("entity_tags"),
         size.alias("n"),
     )
-    def ranked(score):
-        from tessera.operators.topk import top_k
 
+    def ranked(score):
         scored = base.withColumn("score", score)
         return top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], limit=60).select(
             "query_id", "chunk_id", "score", "rank", "text", "section", "entity_tags"
         )
+
     near = ranked((F.col("n") / 16).cast("int").cast("double"))
     said = ranked(F.size(F.split("text", " ")).cast("double"))
     queries = docs.groupBy(query.alias("query_id")).agg(
@@ -458,7 +459,13 @@ def report_rows(spark, sf):
     queries = planned_queries(spark, sf)
     found = hybrid_search(chunk_table(spark, sf), queries, SEARCH)
     report = evidence_report(queries, found.diagnostics, found.evidence)
-    return report.select("query_id", "result_count", F.to_json("evidence").alias("evidence"))
+    return report.select(
+        "query_id",
+        F.col("query.domain").alias("domain"),
+        F.col("diagnostics.vector_hits").alias("vector_hits"),
+        "result_count",
+        joined(F.transform("evidence", lambda e: e["chunk_id"])).alias("chunk_ids"),
+    )
 
 
 # --- plans of queries ------------------------------------------------------------------------
@@ -558,8 +565,6 @@ def upserted_chunks(spark, sf):
 
 def upsert_totals(spark, sf):
     stored, batch = _batches(spark, sf)
-    from tessera.operators.upsert import latest_per_key
-
     return upsert_counts(stored, latest_per_key(batch, "chunk_id", [F.desc("seq")]).drop("seq"))
 
 
