@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
 from tessera.functions.text import clean
 
 DIGEST_BYTES = 32
@@ -18,13 +19,16 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     if dim < 1:
         raise ValueError("dim must be positive")
     blocks = -(-dim // DIGEST_BYTES)
-    value = clean(text)
-    digests = F.concat(*[F.sha2(F.concat(value, F.lit(f"|{i}")), 256) for i in range(blocks)])
-    hexes = F.slice(F.regexp_extract_all(digests, F.lit(".."), F.lit(0)), 1, dim)
-    vector = F.transform(
-        hexes, lambda h: F.conv(h, 16, 10).cast("double") / F.lit(255.0) * F.lit(2.0) - F.lit(1.0)
-    )
-    return F.when(value != "", vector)
+
+    def vector(value: Column) -> Column:
+        digests = F.concat(*[F.sha2(F.concat(value, F.lit(f"|{i}")), 256) for i in range(blocks)])
+        hexes = F.slice(F.regexp_extract_all(digests, F.lit(".."), F.lit(0)), 1, dim)
+        scaled = F.transform(
+            hexes, lambda h: F.conv(h, 16, 10).cast("double") / F.lit(255.0) * F.lit(2.0) - F.lit(1.0)
+        )
+        return F.when(value != "", scaled)
+
+    return let(clean(text), vector)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config as C
-from tessera.functions.arrays import dedupe_ci, let, map_union
+from tessera.functions.arrays import dedupe_ci, let, map_union, no_strings
 from tessera.functions.modeljson import answer_fields, coerce_tags
 from tessera.functions.text import capitalised_phrases, contains_any, split_lines, split_path_value, strip
 
@@ -33,7 +33,9 @@ def path_values(text: Column) -> Column:
     named = F.filter(
         pairs, lambda p: contains_any(F.lower(p["path"]), C.ENTITY_MARKERS) & (p["value"] != "")
     )
-    return F.transform(named, lambda p: p["value"])
+    values = F.transform(named, lambda p: p["value"])
+    # Most prose has no colon at all and need not be split.
+    return F.when(F.contains(text, F.lit(":")), values).otherwise(no_strings())
 
 
 def entities(text: Column, limit: int = C.MAX_TAGS) -> Column:
@@ -71,8 +73,10 @@ def key_fields(text: Column) -> Column:
             x["name"].alias("sample_name"),
         )
 
+    sampled = contains_any(text, (*C.PRICE_LINE_MARKERS, C.NAME_LINE_MARKER))
     found = F.struct(
-        let(F.lower(text), flags).alias("flags"), let(split_lines(text), samples).alias("samples")
+        let(F.lower(text), flags).alias("flags"),
+        F.when(sampled, let(split_lines(text), samples)).alias("samples"),
     )
     return let(found, joined)
 
