@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents_of, word_count
 from tessera.sources.cut import cut
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 def source_targets(totals: DataFrame, weights: tuple[float, ...], budget: float, most_epochs: float) -> DataFrame:

@@ -18,7 +18,7 @@ from tessera.llm.common import column, documents_of, ragged, text_slices, word_c
 from tessera.sources.cut import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PIECES_PER_BUCKET = 50_000
+PIECES_PER_BUCKET = 4_000
 CACHED_WORDS = 400_000
 
 
