@@ -19,7 +19,9 @@ from tessera.sources.cut import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_PER_BUCKET = 4_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+SLICE_BYTES = 8 << 20
+SIGNS = r"(?s)^(.*\p{L})([!-&(-/:-@\[-`{-~]+)$"
 
 
 class WordTokenizer:
@@ -34,20 +36,34 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def _bytes(self, words: list[str]) -> list[bytes]:
-        found = [self.known.get(w) for w in words]
+    def _bytes(self, words: pa.Array) -> list[bytes]:
+        distinct = words.dictionary_encode()
+        keys = distinct.dictionary.to_pylist()
+        found = [self.known.get(w) for w in keys]
         new = [i for i, x in enumerate(found) if x is None]
-        encoded = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False) if new else []
+        encoded = self.tokenizer.encode_batch_fast([keys[i] for i in new], add_special_tokens=False) if new else []
         for i, e in zip(new, encoded, strict=True):
             found[i] = np.array(e.ids, "<u4").tobytes()
-            if len(self.known) < CACHED_WORDS and len(words[i]) < 64:
-                self.known[words[i]] = found[i]
-        return found
+            if len(self.known) < CACHED_WORDS and len(keys[i]) < 64:
+                self.known[keys[i]] = found[i]
+        return [found[i] for i in distinct.indices.to_numpy(zero_copy_only=False)]
+
+    def _word_bytes(self, words: pa.Array) -> list[bytes]:
+        """Encoded words; one that ends with signs after a letter is encoded as two parts, in small letters.
+
+        The tokenizer lowers letters itself and never joins letters with signs. Words that may hold a special
+        token stay as they are, and an apostrophe, which can belong to letters, is no sign here.
+        """
+        lower = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        split = pc.and_(pc.match_substring_regex(lower, SIGNS), pc.invert(pc.match_substring(words, "<|")))
+        core = pc.if_else(split, pc.replace_substring_regex(lower, SIGNS, r"\1"), lower)
+        tail = pc.if_else(split, pc.replace_substring_regex(lower, SIGNS, r"\2"), "")
+        return [a + b for a, b in zip(self._bytes(core), self._bytes(tail), strict=True)]
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end_id`, and the place where each text begins (one more at the end)."""
         words, codes, offsets = word_codes(text)
-        encoded = [*self._bytes(words.to_pylist()), np.array([end_id], "<u4").tobytes()]
+        encoded = [*self._word_bytes(words), np.array([end_id], "<u4").tobytes()]
         codes = np.insert(codes, offsets[1:], len(words))
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(encoded), "<u4")
@@ -64,7 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, size=SLICE_BYTES):
             ids, begins = tokenizer.encode(column(rows, "text"), end_id)
             counts = np.diff(begins)
             pieces = -(-counts // capacity)
