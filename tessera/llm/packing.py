@@ -21,7 +21,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_PER_BUCKET = 4_000
 CACHED_WORDS = 600_000
 SLICE_BYTES = 8 << 20
-SIGNS = r"(?s)^(.*\p{L})([!-&(-/:-@\[-`{-~]+)$"
+SIGNS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 class WordTokenizer:
@@ -36,40 +36,49 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def _bytes(self, words: pa.Array) -> list[bytes]:
-        distinct = words.dictionary_encode()
-        keys = distinct.dictionary.to_pylist()
-        found = [self.known.get(w) for w in keys]
+    def _bytes(self, words: list[str]) -> list[bytes]:
+        found = [self.known.get(w) for w in words]
         new = [i for i, x in enumerate(found) if x is None]
-        encoded = self.tokenizer.encode_batch_fast([keys[i] for i in new], add_special_tokens=False) if new else []
+        encoded = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False) if new else []
         for i, e in zip(new, encoded, strict=True):
             found[i] = np.array(e.ids, "<u4").tobytes()
-            if len(self.known) < CACHED_WORDS and len(keys[i]) < 64:
-                self.known[keys[i]] = found[i]
-        return [found[i] for i in distinct.indices.to_numpy(zero_copy_only=False)]
+            if len(self.known) < CACHED_WORDS and len(words[i]) < 64:
+                self.known[words[i]] = found[i]
+        return found
 
-    def _word_bytes(self, words: pa.Array) -> list[bytes]:
-        """Encoded words; one that ends with signs after a letter is encoded as two parts, in small letters.
+    def _parts(self, words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Words in two parts that can be encoded apart, in small letters: signs behind a letter or digit, and the rest.
 
-        The tokenizer lowers letters itself and never joins letters with signs. Words that may hold a special
-        token stay as they are, and an apostrophe, which can belong to letters, is no sign here.
+        The tokenizer lowers letters itself and never joins letters or digits with signs. Words that may hold a
+        special token stay as they are, and an apostrophe, which can belong to letters, is no sign here.
         """
-        lower = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-        split = pc.and_(pc.match_substring_regex(lower, SIGNS), pc.invert(pc.match_substring(words, "<|")))
-        core = pc.if_else(split, pc.replace_substring_regex(lower, SIGNS, r"\1"), lower)
-        tail = pc.if_else(split, pc.replace_substring_regex(lower, SIGNS, r"\2"), "")
-        return [a + b for a, b in zip(self._bytes(core), self._bytes(tail), strict=True)]
+        special = pc.match_substring(words, "<|")
+        lower = pc.if_else(special, words, pc.ascii_lower(words)).cast(pa.large_string())
+        core = pc.ascii_rtrim(lower, characters=SIGNS)
+        ends, data = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1][1:], np.frombuffer(lower.buffers()[2], np.uint8)
+        signs = (pc.binary_length(lower).to_numpy() - pc.binary_length(core).to_numpy()).astype(np.int64)
+        last = data[ends - signs - 1]
+        plain = ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
+        signs[~plain | special.to_numpy(zero_copy_only=False)] = 0
+        core = pc.if_else(pa.array(signs > 0), core, lower)
+        offsets = np.concatenate([[0], np.cumsum(signs)]).astype(np.int64)
+        tail = pa.LargeStringArray.from_buffers(len(signs), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ragged(ends - signs, signs)])))
+        return core.dictionary_encode(), tail.dictionary_encode()
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end_id`, and the place where each text begins (one more at the end)."""
         words, codes, offsets = word_codes(text)
-        encoded = [*self._word_bytes(words), np.array([end_id], "<u4").tobytes()]
-        codes = np.insert(codes, offsets[1:], len(words))
+        core, tail = self._parts(words) if len(words) else (words.dictionary_encode(), words.dictionary_encode())
+        encoded = [*self._bytes(core.dictionary.to_pylist()), *self._bytes(tail.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(encoded), "<u4")
+        parts = np.column_stack([np.asarray(core.indices), np.asarray(tail.indices) + len(core.dictionary)]).ravel()
+        parts = np.append(parts, len(encoded) - 1)
+        flat = np.frombuffer(b"".join(encoded), "<u4")[ragged((np.cumsum(sizes) - sizes)[parts], sizes[parts])]
+        sizes = np.append(sizes[parts[:-1]].reshape(-1, 2).sum(axis=1), 1)
+        codes = np.insert(codes, offsets[1:], len(words))
         lengths = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return flat[ragged(starts[codes], lengths)], ends[offsets + np.arange(len(offsets))]
+        return flat[ragged((np.cumsum(sizes) - sizes)[codes], lengths)], ends[offsets + np.arange(len(offsets))]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
