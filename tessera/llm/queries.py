@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.lines import dedup_lines
 from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix
 from tessera.llm.nearest import nearest
@@ -51,6 +52,12 @@ def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return rows.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
@@ -65,5 +72,5 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pack, op2_nearest, op4_media, op5_mix, op7_urls, op9_quality, op10_licenses)
+    f.__name__: f for f in (op1_pack, op2_nearest, op4_media, op5_mix, op7_urls, op8_lines, op9_quality, op10_licenses)
 }
