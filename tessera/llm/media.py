@@ -40,7 +40,7 @@ def encode_image(payload: bytes) -> bytes:
     lines = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     raw = np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], axis=1).tobytes()
     header = struct.pack(">IIBBBBB", UNIT, len(lines), 8, 0, 0, 0, 0)
-    return MAGIC + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw, 1)) + _chunk(b"IEND", b"")
+    return MAGIC + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw, 6)) + _chunk(b"IEND", b"")
 
 
 def image_size(header: bytes) -> tuple[int, int]:
