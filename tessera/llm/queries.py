@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.licenses import scan_licenses
-from tessera.llm.lines import dedup_lines
+from tessera.llm.lines import removed_lines
 from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix
 from tessera.llm.nearest import nearest
@@ -53,9 +53,11 @@ def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
-    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    return rows.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    gone = removed_lines(docs).select("doc_id", F.size("removed").cast("long").alias("n"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    rows = docs.where("doc_id is not null").select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left")
+    return rows.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed_lines"))
 
 
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
