@@ -55,7 +55,7 @@ def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     gone = removed_lines(docs).select("doc_id", F.size("removed").cast("long").alias("n"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     rows = docs.where("doc_id is not null").select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left")
     return rows.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed_lines"))
 
