@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.jaccard import jaccard_components
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.lines import removed_lines
 from tessera.llm.media import media_columns
@@ -48,6 +49,10 @@ def op5_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), quality_weights(table(spark, sf, "labels")))
 
 
+def op6_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(table(spark, sf, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -74,5 +79,5 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pack, op2_nearest, op4_media, op5_mix, op7_urls, op8_lines, op9_quality, op10_licenses)
+    f.__name__: f for f in (op1_pack, op2_nearest, op4_media, op5_mix, op6_jaccard, op7_urls, op8_lines, op9_quality, op10_licenses)
 }
