@@ -14,6 +14,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.nearest import nearest
 from tessera.llm.packing import pack
 from tessera.llm.quality import held_out, score, train
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.urls import judge_urls
 
 # Found by measuring: the search still reaches 0.98 of the exact neighbours or more.
@@ -41,6 +42,10 @@ def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 20, NEAREST_FACTOR)
 
 
+def op3_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 def op4_media(spark: SparkSession, sf: str) -> DataFrame:
     return media_columns(table(spark, sf, "documents"))
 
@@ -79,5 +84,5 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pack, op2_nearest, op4_media, op5_mix, op6_jaccard, op7_urls, op8_lines, op9_quality, op10_licenses)
+    f.__name__: f for f in (op1_pack, op2_nearest, op3_repeats, op4_media, op5_mix, op6_jaccard, op7_urls, op8_lines, op9_quality, op10_licenses)
 }
