@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, match: int = 50, chunk_bytes: int = CHUNK_BY
     rows = documents_of(docs)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     chunks = int(size // chunk_bytes) + 1
-    parts = chunks // 4 + 1
+    parts = chunks
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     said = "part int, chunk int, n long, body binary"
