@@ -59,7 +59,9 @@ def preview(text: Column, limit: int) -> Column:
 
 
 def title_from_stem(stem: Column) -> Column:
-    return F.initcap(F.replace(stem, F.lit("_"), F.lit(" ")))
+    """Title case: a letter that follows no letter is a capital, all others are small."""
+    letters = F.regexp_extract_all(F.lower(F.replace(stem, F.lit("_"), F.lit(" "))), F.lit(r"(?s)\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(letters, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
 
 
 def split_path_value(line: Column) -> Column:

@@ -127,8 +127,8 @@ def merge_model_tags(
     )
 
 
-def tag_prompts(chunks: DataFrame, text_limit: int = 5000) -> DataFrame:
-    """User prompt per chunk for a tagging model (column `prompt`)."""
+def tag_prompts(chunks: DataFrame) -> DataFrame:
+    """User prompt per chunk for a tagging model (column `prompt`), with the whole text."""
     unknown = F.lit("unknown")
     prompt = F.concat(
         F.lit("Source ID: "),
@@ -138,7 +138,7 @@ def tag_prompts(chunks: DataFrame, text_limit: int = 5000) -> DataFrame:
         F.lit("\nHint domain: "),
         F.coalesce(F.col("hint_domain"), unknown),
         F.lit("\n\nChunk:\n"),
-        F.substring(F.col("text"), 1, text_limit),
+        F.col("text"),
     )
     return chunks.withColumn("prompt", prompt)
 

@@ -62,16 +62,13 @@ class Cells:
 
 
 def train_cells(
-    vectors: DataFrame, cells: int, seed: int = 7, training_rows: int = 200000, rounds: int = 10
+    vectors: DataFrame, cells: int, seed: int = 7, rounds: int = 10
 ) -> Cells:
-    """Fits centres with k-means. Only the fit may use a sample; every row is assigned later."""
+    """Fits centres with k-means over all rows; at most MAX_CELLS, so that the centres stay small enough to travel."""
     if not 1 <= cells <= MAX_CELLS:
         raise ValueError(f"cells must be between 1 and {MAX_CELLS}")
     embedding = F.col("embedding").cast("array<double>")
     usable = vectors.filter(is_embedded(F.col("embedding"))).select(embedding.alias("v"))
-    rows = usable.count()
-    if rows > training_rows:
-        usable = usable.sample(fraction=training_rows / rows, seed=seed)
     length = norm(F.col("v"))
     unit = usable.filter(length > 0).select(
         array_to_vector(F.transform("v", lambda x: x / length)).alias("features")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import asdict
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ class IngestResult(NamedTuple):
 
 
 def pipeline_hash(cfg: IngestConfig) -> str:
-    raw = json.dumps(cfg.signature(), sort_keys=True, separators=(",", ":"))
+    """Fingerprint of every setting, since each can change chunks; `signature` names the ones shown to users."""
+    raw = json.dumps(asdict(cfg), sort_keys=True, separators=(",", ":"))
     return hashlib.sha256(raw.encode()).hexdigest()
 
 

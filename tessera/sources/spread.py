@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffles an input that has fewer partitions than the cluster has cores.
+    """Shuffles an input that is read from fewer files than the cluster has cores.
 
-    A table of many files already has more and is returned as it is.
+    A table of many files is returned as it is. Only names of files are looked at; nothing is run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -373,7 +373,7 @@ ORACLES = {
         count(h.chunk_id) AS result_count, string_agg(h.chunk_id, '|' ORDER BY h.rank) AS chunk_ids
       FROM planned p LEFT JOIN h USING (query_id) GROUP BY query_id, p.domain""",
     "tag_prompts": f"""WITH {CHUNKS} SELECT chunk_id, 'Source ID: ' || source_id || chr(10) || 'Source type: txt' || chr(10) || 'Hint domain: '
-      || coalesce({domain("source_id", "text")}, 'unknown') || chr(10) || chr(10) || 'Chunk:' || chr(10) || substring(text, 1, 5000) AS prompt FROM chunks""",
+      || coalesce({domain("source_id", "text")}, 'unknown') || chr(10) || chr(10) || 'Chunk:' || chr(10) || text AS prompt FROM chunks""",
     "plan_clean": f"""WITH t AS (SELECT item_id AS query_id, text, {clean("text")} AS whole, length(text) AS n, {SECOND} AS w FROM benchmark),
       v AS (SELECT *, NOT (n > 260 OR (n > 200 AND n <= 220)) AND (n // 6) BETWEEN 1 AND 50 AND n <= 250 AS ok FROM t),
       w AS (SELECT *, strpos(lower(text), w) AS found, strpos(lower(text), 'zz') AS z FROM v)
