@@ -37,8 +37,12 @@ def model_embedding(make_model: Callable[[], Callable], batch: int = 64):
     return lambda text: embed(clean(text))
 
 
-def model_answer(make_model: Callable[[], Callable]):
-    """Column function prompt -> answer text for a user model; a failed call gives null."""
+def model_answer(make_model: Callable[[], Callable], stop: bool = False):
+    """Column function prompt -> answer text for a user model.
+
+    A failed call gives null, which suits a tagger that has rules to fall back on; with `stop`, as
+    for a planner, it stops the job.
+    """
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -48,6 +52,8 @@ def model_answer(make_model: Callable[[], Callable]):
             try:
                 return model(prompt)
             except Exception:
+                if stop:
+                    raise
                 return None
 
         for prompts in parts:

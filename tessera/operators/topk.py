@@ -28,7 +28,7 @@ def top_k(
     """First rows of every group with their rank.
 
     The constant `limit` lets Spark cut each map partition before the shuffle; the column `k`
-    then applies the group's own size. On clusters with many partitions the survivors of a
+    then applies the group's own size; one above `limit` stops the job. On clusters with many partitions the survivors of a
     group are first merged by subsets of map partitions, so one task never receives the
     candidates of every partition.
     """
@@ -38,9 +38,12 @@ def top_k(
         df = ranked(lane, [*by, "_lane"], order, "_lane_rank").filter(F.col("_lane_rank") <= limit)
         df = df.drop("_lane", "_lane_rank")
     kept = ranked(df, by, order, rank).filter(F.col(rank) <= limit)
-    return kept if k is None else kept.filter(F.col(rank) <= F.col(k))
+    if k is None:
+        return kept
+    over = F.raise_error(F.concat(F.lit(f"more than {limit} rows are asked for: "), F.col(k).cast("string"))).cast("boolean")
+    return kept.filter(F.when(F.col(k) > limit, over).otherwise(F.col(rank) <= F.col(k)))
 
 
 def latest_per_key(df: DataFrame, key: str, newest: list[Column]) -> DataFrame:
-    """One row per key, the newest; copies of a hot key are cut before the shuffle."""
-    return top_k(df, [key], newest, limit=1, rank="_newest").drop("_newest")
+    """One row per key, the newest, with one shuffle: each map partition keeps one row of a key before it."""
+    return ranked(df, [key], newest, "_newest").filter(F.col("_newest") == 1).drop("_newest")

@@ -25,8 +25,13 @@ def complete_documents(docs: DataFrame) -> DataFrame:
 
 
 def new_chunks_only(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet; runs before any model is asked."""
-    return chunks.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+    """Chunks that are not stored yet with this id and this text; runs before any model is asked.
+
+    An id is made of the first characters of a chunk only, so one edited behind them counts as new.
+    """
+    known = stored.select("chunk_id", F.sha2("text", 256).alias("_text"))
+    hashed = chunks.withColumn("_text", F.sha2("text", 256))
+    return hashed.join(known, ["chunk_id", "_text"], "left_anti").select(*chunks.columns)
 
 
 def finish_records(

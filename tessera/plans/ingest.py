@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 from typing import NamedTuple
 
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import IngestConfig
-from tessera.operators.chunking import json_documents
+from tessera.operators.chunking import chunk_documents, json_documents, qna_blocks, qna_chunks
 from tessera.operators.health import source_counts, source_status
-from tessera.plans.build import build_chunks
+from tessera.operators.topk import latest_per_key
+from tessera.plans.build import complete_documents, finish_records, new_chunks_only
 from tessera.sources.cut import cut
 from tessera.sources.store import KeyedTable
 
@@ -29,6 +31,17 @@ def pipeline_hash(cfg: IngestConfig) -> str:
     return hashlib.sha256(raw.encode()).hexdigest()
 
 
+def text_sources(docs: DataFrame) -> DataFrame:
+    """Documents (source_id, text, optional source_type/title/url/arrival) as sources, hashed by their text."""
+    return docs.withColumns({"source_path": F.lit("text"), "source_hash": F.sha2("text", 256)})
+
+
+def newest_sources(sources: DataFrame) -> DataFrame:
+    """One row per source: the one of largest `arrival`, where that column is there; ties go to the larger hash."""
+    newest = [F.desc_nulls_last("arrival")] if "arrival" in sources.columns else []
+    return latest_per_key(sources, "source_id", [*newest, F.desc_nulls_last("source_hash")])
+
+
 def incremental_ingest(
     sources: DataFrame,
     table: KeyedTable,
@@ -41,26 +54,88 @@ def incremental_ingest(
 ) -> IngestResult:
     """Brings the chunk table up to date with sources (source_id, source_path, title, source_hash, json).
 
-    All changed sources are built in one plan. Their new rows are complete before anything stored
-    is touched, and the manifest is written last: a run that dies is simply run again.
+    Sources of plain text have `text` in place of `json`, see `text_sources`. Of a source that comes
+    several times the newest counts, see `newest_sources`. Without `clear_source` stored chunks stay,
+    unless one of the same id has another text.
     """
-    fingerprint = pipeline_hash(cfg)
-    # Only the partitions that the incoming sources live in are read.
-    stored = table.partitions_of(sources)
-    status = source_status(
-        sources.select("source_id", "source_path", "title", "source_hash"),
-        manifest.partitions_of(sources),
-        source_counts(stored),
-        fingerprint,
+    sources = newest_sources(sources)
+
+    def chunks(todo: DataFrame) -> DataFrame:
+        rows = sources.join(todo, "source_id", "left_semi")
+        if "json" in sources.columns:
+            rows = json_documents(rows.select("source_id", "title", "json"))
+        rows = complete_documents(rows)
+        return chunk_documents(rows.select("source_id", "source_type", "title", "url", "text"), cfg.chunks)
+
+    return ingest_chunks(sources, chunks, table, manifest, cfg, incremental, clear_source, tagger, embed)
+
+
+def ingest_qna(
+    pairs: DataFrame,
+    table: KeyedTable,
+    manifest: KeyedTable,
+    cfg: IngestConfig = IngestConfig(),
+    incremental: bool = True,
+    clear_source: bool = True,
+    tagger=None,
+    embed=None,
+) -> IngestResult:
+    """The same for question/answer rows (source_id, source_type, title, url, pos, question, answer).
+
+    The hash of a source is made of sums and parities over its rows, so a source of any length is
+    hashed where its rows are.
+    """
+    row = lambda seed: F.xxhash64(F.lit(seed), "pos", "question", "answer")
+    sources = pairs.groupBy("source_id").agg(
+        F.max("title").alias("title"),
+        F.count("*").alias("_n"),
+        F.sum(row(1).cast("decimal(20,0)")).alias("_sum"),
+        F.bit_xor(row(2)).alias("_xor"),
     )
+    sources = sources.select(
+        "source_id",
+        F.lit("qna").alias("source_path"),
+        "title",
+        F.sha2(F.concat_ws(":", "_n", "_sum", "_xor"), 256).alias("source_hash"),
+    )
+
+    def chunks(todo: DataFrame) -> DataFrame:
+        return qna_chunks(qna_blocks(pairs.join(todo, "source_id", "left_semi")), cfg.chunks)
+
+    return ingest_chunks(sources, chunks, table, manifest, cfg, incremental, clear_source, tagger, embed)
+
+
+def ingest_chunks(
+    sources: DataFrame,
+    chunks: Callable[[DataFrame], DataFrame],
+    table: KeyedTable,
+    manifest: KeyedTable,
+    cfg: IngestConfig = IngestConfig(),
+    incremental: bool = True,
+    clear_source: bool = True,
+    tagger=None,
+    embed=None,
+) -> IngestResult:
+    """Ingest of sources (source_id, source_path, title, source_hash, one row each), of which `chunks` makes chunks.
+
+    `chunks` gets the ids of the changed sources. All of them are built in one plan. Their new rows
+    are complete before anything stored is touched, and the manifest is written last: a run that
+    dies is simply run again.
+    """
+    fingerprint = pipeline_hash(cfg)
+    # Hashing reads every source once; all later steps start from these few columns.
+    seen = cut(sources.select("source_id", "source_path", "title", "source_hash"))
+    # Only the buckets that the incoming sources live in are read.
+    stored = table.partitions_of(seen)
+    status = source_status(seen, manifest.partitions_of(seen), source_counts(stored), fingerprint)
     if not incremental:
         status = status.withColumn("unchanged", F.lit(False))
     status = cut(status)
     changed = status.filter(~F.col("unchanged"))
-    todo = sources.join(changed.select("source_id"), "source_id", "left_semi")
-    docs = json_documents(todo.select("source_id", "title", "json"))
-    existing = None if clear_source else stored
-    records = cut(build_chunks(docs, cfg, existing, tagger, embed))
+    fresh = chunks(changed.select("source_id"))
+    if not clear_source:
+        fresh = new_chunks_only(fresh, stored)
+    records = cut(finish_records(fresh, cfg, tagger, embed))
     if not changed.isEmpty():
         if clear_source:
             table.replace_sources(records, changed)

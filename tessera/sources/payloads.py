@@ -9,7 +9,7 @@ from tessera.functions.jsonwalk import canonical_json_hash
 
 
 def json_payloads(payloads: DataFrame) -> DataFrame:
-    """(source_id, json, optional title) to sources; the hash ignores key order."""
+    """(source_id, json, optional title and arrival) to sources; the hash ignores key order."""
     if "title" not in payloads.columns:
         payloads = payloads.withColumn("title", F.lit(None).cast("string"))
     return payloads.select(
@@ -18,6 +18,7 @@ def json_payloads(payloads: DataFrame) -> DataFrame:
         "title",
         canonical_json_hash(F.col("json")).alias("source_hash"),
         "json",
+        *(["arrival"] if "arrival" in payloads.columns else []),
     )
 
 

@@ -1,10 +1,11 @@
-"""Keyed Parquet tables that are changed by rewriting the touched partitions."""
+"""Keyed Parquet tables that are changed by writing the touched buckets anew and switching a pointer."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -13,6 +14,7 @@ from tessera.operators.upsert import upsert_rows, without_sources
 from tessera.schemas import CHUNK_RECORD, MANIFEST
 
 BUCKET = "kb_bucket"
+DATA, POINTERS = "data", "pointers"
 
 
 @dataclass(frozen=True)
@@ -20,7 +22,10 @@ class KeyedTable:
     """A Parquet table with a unique key, partitioned by a hash bucket of one column.
 
     Bucketing by hash keeps the number of partitions fixed however many sources there are; all
-    rows of a source share a bucket, so replacing a source rewrites one partition.
+    rows of a source share a bucket, so replacing a source writes one bucket. A change writes its
+    buckets to a folder of its own and then a small pointer file that names the folder of every
+    bucket. Readers follow the newest pointer, so a run that dies before it leaves the table as it
+    was. `buckets` counts for a new table; an old one keeps the number it was written with.
     """
 
     spark: SparkSession
@@ -31,14 +36,39 @@ class KeyedTable:
     buckets: int = 64
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.bucket_by), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self.bucket_by), F.lit(self._snapshot()[1])).cast("int")
+
+    def _hadoop(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        path, fs = self._hadoop(*parts)
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _snapshot(self) -> tuple[int, int, dict[int, str]]:
+        """Number of the newest pointer (0 for a new table), number of buckets, and the folder of each bucket."""
+        pointers = [name for name in self._names(POINTERS) if name.endswith(".json")]
+        if not pointers:
+            return 0, self.buckets, {}
+        path, fs = self._hadoop(POINTERS, pointers[-1])
+        stream = fs.open(path)
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return int(pointers[-1][:-5]), found["buckets"], {int(b): folder for b, folder in found["folders"].items()}
 
-    def _stored(self) -> DataFrame:
+    def _stored(self, only: list[int] | None = None) -> DataFrame:
+        """Stored rows, all or those of some buckets; the folders of other buckets are not even listed."""
         schema = StructType([*self.schema.fields, StructField(BUCKET, IntegerType())])
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
+        folders = self._snapshot()[2]
+        wanted = sorted(folders if only is None else set(only) & set(folders))
+        paths = [f"{self.path}/{DATA}/{folders[b]}/{BUCKET}={b}" for b in wanted]
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{DATA}").parquet(*paths)
+        return rows.select(*schema.names)
 
     def read(self) -> DataFrame:
         return self._stored().drop(BUCKET)
@@ -46,60 +76,66 @@ class KeyedTable:
     def scan_sources(self, sources: list[str]) -> DataFrame:
         """Rows of a short list of sources; only their partitions are read."""
         ids = F.array(*[F.lit(s) for s in sources])
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(ids).alias(self.bucket_by)).select(self.bucket()).collect()]
-        stored = self._stored().filter(F.col(BUCKET).isin(buckets))
-        return stored.filter(F.col(self.bucket_by).isin(sources)).drop(BUCKET)
+        named = self.spark.range(1).select(F.explode(ids).alias(self.bucket_by))
+        return self._stored(self._touched(named)).filter(F.col(self.bucket_by).isin(sources)).drop(BUCKET)
 
     def partitions_of(self, sources: DataFrame) -> DataFrame:
         """Rows of the partitions that the given rows' sources live in, as a pruned scan."""
-        return self._stored().filter(F.col(BUCKET).isin(self._touched(sources))).drop(BUCKET)
+        return self._stored(self._touched(sources)).drop(BUCKET)
 
-    def _touched(self, *parts: DataFrame) -> list[int]:
-        found = set()
-        for part in parts:
-            found |= {r[0] for r in part.select(self.bucket().alias("b")).distinct().collect()}
-        return sorted(found)
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame) -> str:
+        """Writes rows to a new folder that no pointer names yet."""
+        folder = f"written={uuid.uuid4().hex}"
         # Rebalancing splits a bucket that one large source has filled and packs small ones.
-        spread = rows.select(*[f.name for f in self.schema], self.bucket().alias(BUCKET)).hint(
-            "rebalance", BUCKET
-        )
-        (
-            spread.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BUCKET)
-            .parquet(self.path)
-        )
+        spread = rows.select(*[f.name for f in self.schema], self.bucket().alias(BUCKET)).hint("rebalance", BUCKET)
+        spread.write.partitionBy(BUCKET).parquet(f"{self.path}/{DATA}/{folder}")
+        return folder
+
+    def _switch(self, folder: str, touched: list[int], base: tuple[int, int, dict[int, str]]) -> None:
+        """Makes a written folder the place of the touched buckets; those without rows in it become empty.
+
+        The pointer is written under another name and renamed, which fails when another run has
+        taken the number after that of `base`: of two runs at once, one stops and has changed nothing.
+        """
+        number, buckets, folders = base
+        filled = {int(name.split("=")[1]) for name in self._names(DATA, folder) if name.startswith(f"{BUCKET}=")}
+        kept = {b: f for b, f in folders.items() if b not in touched} | {b: folder for b in filled}
+        body = json.dumps({"buckets": buckets, "folders": {str(b): kept[b] for b in sorted(kept)}})
+        draft, fs = self._hadoop(POINTERS, f"{uuid.uuid4().hex}.draft")
+        out = fs.create(draft)
+        try:
+            out.write(bytearray(body.encode()))
+        finally:
+            out.close()
+        final, _ = self._hadoop(POINTERS, f"{number + 1:012d}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"{self.path} was changed by another run")
 
     def upsert(self, new: DataFrame, newest: list[Column] | None = None) -> None:
         """Puts `new` in place of equal keys; `new` is evaluated twice, so write models' output first."""
-        touched = self._touched(new)
-        current = self._stored().filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        self._write(upsert_rows(current, new, self.key, newest))
+        base, touched = self._snapshot(), self._touched(new)
+        current = self._stored(touched).drop(BUCKET)
+        self._switch(self._write(upsert_rows(current, new, self.key, newest)), touched, base)
 
     def replace_sources(self, new: DataFrame, sources: DataFrame) -> None:
-        """Puts `new` in place of all rows of the listed sources, in one partition overwrite."""
-        touched = self._touched(sources)
-        current = self._stored().filter(F.col(BUCKET).isin(touched))
-        kept = without_sources(current, sources)
-        # An overwrite does not touch a partition that got no rows, so those are dropped afterwards.
-        bare = sorted(set(touched) - set(self._touched(new)))
-        emptied = set(bare)
-        if bare:
-            left = kept.filter(F.col(BUCKET).isin(bare)).select(BUCKET).distinct()
-            emptied -= {r[0] for r in left.collect()}
-        self._write(kept.drop(BUCKET).unionByName(new.select(*[f.name for f in self.schema])))
-        for bucket in emptied:
-            self._drop_bucket(bucket)
+        """Puts `new`, rows of listed sources, in place of all rows of these sources."""
+        base, touched = self._snapshot(), self._touched(sources)
+        kept = without_sources(self._stored(touched).drop(BUCKET), sources)
+        self._switch(self._write(kept.unionByName(new.select(*[f.name for f in self.schema]))), touched, base)
 
     def delete_sources(self, sources: DataFrame) -> None:
         self.replace_sources(self.spark.createDataFrame([], self.schema), sources)
 
-    def _drop_bucket(self, bucket: int) -> None:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{BUCKET}={bucket}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+    def vacuum(self) -> None:
+        """Deletes folders that the newest pointer does not name; run it while nobody reads or writes."""
+        used = set(self._snapshot()[2].values())
+        for name in self._names(DATA):
+            if name not in used:
+                path, fs = self._hadoop(DATA, name)
+                fs.delete(path, True)
 
 
 def chunk_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
