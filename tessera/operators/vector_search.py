@@ -77,6 +77,18 @@ def train_cells(
     return Cells(np.array(model.clusterCenters()))
 
 
+def mean_cells(vectors: DataFrame, label: str) -> Cells:
+    """A cell for each value of a column, around the mean of its vectors' directions; at most MAX_CELLS values."""
+    v = F.col("embedding").cast("array<double>")
+    usable = vectors.filter(is_embedded(F.col("embedding"))).select(label, v.alias("v")).filter(norm(F.col("v")) > 0)
+    unit = usable.select(label, F.posexplode(F.transform("v", lambda x: x / norm(F.col("v")))).alias("i", "x"))
+    means = unit.groupBy(label, "i").agg(F.avg("x").alias("m"))
+    rows = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy(label).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
+    return Cells(np.array([[x.m for x in r.c] for r in rows]))
+
+
 def assign_cells(chunks: DataFrame, cells: Cells) -> DataFrame:
     """Adds `cell`; write the result partitioned by it so that a search reads probed cells only."""
     return chunks.filter(is_embedded(F.col("embedding"))).withColumn(

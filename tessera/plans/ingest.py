@@ -33,7 +33,7 @@ def pipeline_hash(cfg: IngestConfig) -> str:
 
 def text_sources(docs: DataFrame) -> DataFrame:
     """Documents (source_id, text, optional source_type/title/url/arrival) as sources, hashed by their text."""
-    return docs.withColumns({"source_path": F.lit("text"), "source_hash": F.sha2("text", 256)})
+    return complete_documents(docs).withColumns({"source_path": F.lit("text"), "source_hash": F.sha2("text", 256)})
 
 
 def newest_sources(sources: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.config import ChunkRules, IngestConfig, SearchConfig
 from tessera.operators.health import compare_counts, source_status, table_health
+from tessera.operators.models import model_answer
+from tessera.operators.topk import top_k
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
 from tessera.plans.build import build_chunks
-from tessera.plans.ingest import incremental_ingest, pipeline_hash
+from tessera.plans.ingest import incremental_ingest, ingest_qna, pipeline_hash, text_sources
 from tessera.plans.planner import active_filters, plan_prompts, plan_queries
 from tessera.plans.relax import search_with_relaxation
 from tessera.plans.search import hybrid_search
@@ -202,6 +204,89 @@ def test_payload_ingest(spark, tmp_path):
     assert incremental_ingest(json_payloads(again), table, manifest).summary.first().skipped_sources == 1
 
 
+def test_a_run_that_stops_before_the_switch_loses_nothing(spark, tmp_path, monkeypatch):
+    table = chunk_table(spark, str(tmp_path / "kb"), buckets=1)
+    table.upsert(build_chunks(docs(spark)))
+    before = sorted(r.chunk_id for r in table.read().collect())
+    new = build_chunks(docs(spark)).filter("source_id = 'sport_1'").withColumn("version", F.lit("v2"))
+
+    def stop(*_):
+        raise RuntimeError("the run ends here")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(table), "_switch", stop)
+        with pytest.raises(RuntimeError):
+            table.upsert(new)
+        with pytest.raises(RuntimeError):
+            table.delete_sources(new)
+    assert sorted(r.chunk_id for r in table.read().collect()) == before
+    assert table.read().filter("version = 'v2'").count() == 0
+    table.upsert(new)
+    table.vacuum()
+    assert sorted(r.chunk_id for r in table.read().collect()) == before and len(list((tmp_path / "kb" / "data").iterdir())) == 1
+    assert chunk_table(spark, str(tmp_path / "kb"), buckets=9).read().count() == len(before)
+
+
+def test_of_two_runs_at_once_one_stops(spark, tmp_path):
+    table = chunk_table(spark, str(tmp_path / "kb"), buckets=2)
+    base = table._snapshot()
+    folder = table._write(build_chunks(docs(spark)))
+    table._switch(folder, [0, 1], base)
+    with pytest.raises(RuntimeError):
+        table._switch(folder, [0, 1], base)
+    assert table.read().count() == 12
+
+
+def test_newest_copy_of_a_source(spark, tmp_path):
+    table, manifest = chunk_table(spark, str(tmp_path / "kb"), 2), manifest_table(spark, str(tmp_path / "m"), 2)
+    rows = [("p", 1, '{"a": "old"}'), ("p", 3, '{"a": "new"}'), ("p", None, '{"a": "no time"}'), ("q", 2, '{"a": "other"}'), ("q", 2, '{"a": "other"}')]
+    sources = json_payloads(spark.createDataFrame(rows, "source_id string, arrival int, json string"))
+    report = incremental_ingest(sources, table, manifest).report
+    assert sorted((r.source_id, r.new_records) for r in report.collect()) == [("p", 1), ("q", 1)]
+    assert sorted(r.text for r in table.read().collect()) == ["a: new", "a: other"]
+    assert manifest.read().count() == 2
+
+
+def test_an_edit_behind_the_id_is_kept(spark, tmp_path):
+    table, manifest = chunk_table(spark, str(tmp_path / "kb"), 2), manifest_table(spark, str(tmp_path / "m"), 2)
+
+    def run(text):
+        rows = spark.createDataFrame([("s", text)], "source_id string, text string")
+        return incremental_ingest(text_sources(rows), table, manifest, clear_source=False).summary.first()
+
+    run("x" * 150 + " old")
+    assert run("x" * 150 + " new").total_new_records == 1
+    assert [r.text[-3:] for r in table.read().collect()] == ["new"]
+    assert run("x" * 150 + " new").skipped_sources == 1
+
+
+def test_qna_ingest(spark, tmp_path):
+    table, manifest = chunk_table(spark, str(tmp_path / "kb"), 2), manifest_table(spark, str(tmp_path / "m"), 2)
+    turns = [(1, 0, "user", "Where?"), (1, 1, "assistant", "Here."), (1, 2, "user", "When?"), (2, 0, "user", None)]
+    pairs = qna_pairs(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert ingest_qna(pairs, table, manifest).summary.first().total_new_records == 2
+    assert [r.text for r in table.read().orderBy("order").collect()] == ["Q: Where?\nA: Here.", "Q: When?\nA:"]
+    again = {r.source_id: r.status for r in ingest_qna(pairs, table, manifest).report.collect()}
+    assert again == {"conv-1": "unchanged", "conv-2": "missing_records"}
+
+
+def test_failed_model_calls(spark):
+    def fail(prompt):
+        raise ValueError("no answer")
+
+    rows = spark.createDataFrame([("p",)], "prompt string")
+    assert rows.select(model_answer(lambda: fail)(F.col("prompt")).alias("a")).first().a is None
+    with pytest.raises(Exception, match="no answer"):
+        rows.select(model_answer(lambda: fail, stop=True)(F.col("prompt"))).collect()
+
+
+def test_more_rows_than_a_ranking_keeps(spark):
+    rows = spark.range(4).withColumns({"q": F.lit(1), "k": F.lit(3)})
+    assert top_k(rows, ["q"], [F.asc("id")], limit=3, k="k").count() == 3
+    with pytest.raises(Exception, match="more than 2 rows"):
+        top_k(rows, ["q"], [F.asc("id")], limit=2, k="k").collect()
+
+
 def test_watch_folder(spark, tmp_path):
     folder = tmp_path / "in"
     write_sources(folder, {"a.json": {"x": 1}})

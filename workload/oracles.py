@@ -273,6 +273,24 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS r
   v_score AS vector_score, t_score AS text_score, {CHANNELS} AS channels, section
 FROM f QUALIFY rank <= 12"""
 
+def stored(chunks: str) -> str:
+    """Rows of a stored chunk table."""
+    return f"""SELECT chunk_id, source_id, "order", section, text, coalesce({domain("source_id", "text")}, 'unknown') AS domain, 'v1' AS version FROM {chunks}"""
+
+
+EDITED = f"SELECT {SID} AS source_id, CASE WHEN length(text) > 200 THEN text || ' edited' ELSE text END AS text FROM documents"
+CUSTOMERS = """SELECT 'customer-' || c_custkey AS source_id, c_acctbal < 0 AS changed, 'name: ' || CASE WHEN c_acctbal < 0 THEN 'new ' ELSE '' END || c_name
+  || chr(10) || 'segment: ' || c_mktsegment AS text FROM customer"""
+
+
+def inner(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b})"
+
+
+def unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt({inner(v, v)}))"
+
+
 ORACLES = {
     "normalize_text": f"""SELECT doc_id, {clean("text")} AS clean_text,
       CASE WHEN length({clean("text")}) > 40 THEN substring({clean("text")}, 1, 40) || '...' ELSE {clean("text")} END AS preview
@@ -418,4 +436,42 @@ ORACLES = {
       SELECT source_id, coalesce(x.n, 0) AS local_records, coalesce(y.n, 0) AS stored_records FROM x FULL JOIN y USING (source_id)""",
     "table_health": f"""WITH {CHUNKS} SELECT count(*) AS n_rows, count(DISTINCT chunk_id) AS n_ids, count(*) - count(DISTINCT chunk_id) AS n_duplicates,
       0::BIGINT AS n_blank_ids, 0::BIGINT AS n_no_embedding, 64 AS min_dim, 64 AS max_dim, '' AS problems, true AS healthy FROM chunks""",
+    "incremental_rows": f"""WITH {windows(CUSTOMERS.replace(", c_acctbal < 0 AS changed", ""), 30, section="json_fields")} {stored("chunks")}""",
+    "ingest_summary": f"""WITH c AS ({CUSTOMERS}) SELECT count(*) AS total_sources_seen, count(*) FILTER (changed) AS ingested_sources,
+      count(*) FILTER (NOT changed) AS skipped_sources, count(*) FILTER (changed) AS total_new_records, count(*) AS records_in_db FROM c""",
+    "text_ingest": f"WITH {windows(EDITED, 40)} {stored('chunks')}",
+    "keep_existing_ingest": f"""WITH {windows(DOCS, 40, "a")}, {windows(EDITED, 40, "b")},
+      u AS (SELECT * FROM b UNION ALL SELECT * FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM b)) {stored("u")}""",
+    "qna_ingest": f"""WITH turns AS (SELECT * FROM conversations), {TURNS},
+      pieces AS (SELECT source_id, pos, trim(u.piece) AS text, u.i FROM blocks, unnest(string_split(block, '---')) WITH ORDINALITY AS u(piece, i)
+        WHERE trim(u.piece) <> ''),
+      n AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY pos, i) - 1 AS INTEGER) AS "order", text FROM pieces),
+      chunks AS (SELECT *, 'qna' AS section, sha1(source_id || ':' || "order" || ':' || substring(text, 1, 120)) AS chunk_id FROM n) {stored("chunks")}""",
+    "json_file_sources": """WITH f AS (SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' || chr(10) AS json FROM supplier)
+      SELECT sha256(json) AS source_hash, json FROM f""",
+    "json_file_records": "SELECT s_suppkey, s_name AS name FROM supplier",
+    "query_file": """SELECT text AS query_text, 5 AS top_k, NULL::VARCHAR AS domains FROM benchmark
+      UNION ALL SELECT text, NULL, 'sports' FROM benchmark""",
+    "write_previews": """SELECT sha1('nation-' || s_nationkey || ':0:' || substring(s_name, 1, 120)) AS chunk_id, 'nation-' || s_nationkey AS source_id,
+      s_name AS text, 'nation-' || s_nationkey AS source FROM supplier""",
+    "embedder_hook": f"""WITH d AS (SELECT {SID} AS source_id, {clean("text")} AS t FROM documents)
+      SELECT source_id, length(t)::DOUBLE AS n_chars, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS n_e FROM d WHERE t <> ''""",
+    "chunker_hook": f"""WITH s AS (SELECT source_id, u.s AS text, u.i FROM ({DOCS}), unnest(string_split(text, '. ')) WITH ORDINALITY AS u(s, i) WHERE u.s <> ''),
+      n AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY i) - 1 AS INTEGER) AS "order", text FROM s)
+      SELECT sha1(source_id || ':' || "order" || ':' || substring(text, 1, 120)) AS chunk_id, source_id, "order", 'sentence' AS section, text FROM n""",
+    "ivf_label_cells": f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+      u AS (SELECT vec_id, label, {unit("v")} AS v FROM e),
+      m AS (SELECT label, i, avg(v[i]) AS m FROM u, range(1, 65) t(i) GROUP BY ALL),
+      c AS (SELECT label AS cell, list(m ORDER BY i) AS c FROM m GROUP BY label),
+      qv AS (SELECT item_id AS query_id, {hash_vector("text")} AS v FROM benchmark),
+      qu AS (SELECT query_id, {unit("v")} AS v FROM qv),
+      placed AS (SELECT vec_id, arg_max(cell, {inner("v", "c")} - {inner("c", "c")} / 2) AS cell FROM u, c GROUP BY vec_id),
+      probed AS (SELECT query_id, cell FROM qu, c
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {inner("v", "c")} - {inner("c", "c")} / 2 DESC) <= 2),
+      s AS (SELECT query_id, vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(qv.v, e.v), 6) AS score
+        FROM probed JOIN placed USING (cell) JOIN e USING (vec_id) JOIN qv USING (query_id))
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""",
 }
+ORACLES["ivf_all_cells"] = ORACLES["cosine_topk"]
+ORACLES["answer_hook"] = f"""WITH p AS ({ORACLES["tag_prompts"]})
+  SELECT chunk_id, CASE WHEN NOT contains(prompt, chr(10) || 'Hint domain: unknown' || chr(10)) THEN length(prompt) || ' characters' END AS answer FROM p"""

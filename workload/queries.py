@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import ChunkRules
 from tessera.functions import text as T
-from tessera.functions.arrays import dedupe_ci, map_union
 from tessera.functions.jsonwalk import canonical_json_hash, json_lines
+from tessera.functions.text import clean
 from tessera.functions.vectors import cosine, hash_embedding
 from tessera.operators.chunking import (
     chunk_documents,
+    custom_chunks,
     json_documents,
     qna_blocks,
     qna_chunks,
@@ -29,7 +31,7 @@ from tessera.operators.health import (
     table_health,
 )
 from tessera.operators.lexical import bm25_hits, lexical_hits, scan_hits
-from tessera.operators.models import dimension_profile
+from tessera.operators.models import dimension_profile, model_answer, model_embedding
 from tessera.operators.tagging import (
     entities,
     key_field_map,
@@ -42,11 +44,11 @@ from tessera.operators.tagging import (
 from tessera.operators.topk import latest_per_key, top_k
 from tessera.operators.unnest import unnest
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
-from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
+from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, mean_cells, train_cells
 from tessera.plans.build import build_chunks, complete_documents, new_chunks_only
 from tessera.plans.context import answer_prompts, build_context
 from tessera.sources.cut import cut, shared_folder
-from tessera.plans.ingest import incremental_ingest
+from tessera.plans.ingest import incremental_ingest, ingest_qna, ingest_summary, text_sources
 from tessera.plans.planner import active_filters, plan_queries
 from tessera.plans.relax import search_with_relaxation
 from tessera.plans.search import (
@@ -59,9 +61,10 @@ from tessera.plans.search import (
     text_hits,
     vector_hits,
 )
-from tessera.sources.payloads import json_payloads, qna_pairs
-from tessera.sources.queries import query_json, query_texts
-from tessera.sources.sinks import evidence_report
+from tessera.sources.files import json_files, json_records
+from tessera.sources.payloads import json_payloads, qna_pairs, text_documents
+from tessera.sources.queries import query_file, query_json, query_texts
+from tessera.sources.sinks import evidence_report, write_previews
 from tessera.sources.spread import spread
 from tessera.sources.store import chunk_table as stored_chunk_table
 from tessera.sources.store import manifest_table
@@ -330,6 +333,22 @@ def ivf_topk(spark, sf):
     return cell_vector_hits(celled, _vector_queries(spark, sf), cells, SEARCH).drop("source_id")
 
 
+def ivf_all_cells(spark, sf):
+    """Trained cells, all of them probed: the same as the exact search."""
+    vectors = _vectors(spark, sf)
+    cells = train_cells(vectors, 16)
+    every = replace(SEARCH, nprobe=16)
+    return cell_vector_hits(assign_cells(vectors, cells), _vector_queries(spark, sf), cells, every).drop("source_id")
+
+
+def ivf_label_cells(spark, sf):
+    """Cells around the mean direction of every label, two of them probed."""
+    vectors = _vectors(spark, sf)
+    cells = mean_cells(vectors, "domain")
+    near = replace(SEARCH, nprobe=2)
+    return cell_vector_hits(assign_cells(vectors, cells), _vector_queries(spark, sf), cells, near).drop("source_id")
+
+
 def scan_search(spark, sf):
     queries = filter_lists(complete_queries(plain_queries(spark, sf))).withColumn("k", F.lit(32))
     return scan_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
@@ -627,11 +646,14 @@ def chunk_table_health(spark, sf):
     return rows.withColumn("problems", joined("problems"))
 
 
+def _stored_tables(spark, buckets=8):
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    return stored_chunk_table(spark, f"{folder}/chunks", buckets), manifest_table(spark, f"{folder}/manifest", buckets)
+
+
 def incremental_run(spark, sf):
     """Two runs over the customers as JSON sources; the second one finds some of them changed."""
-    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    chunks = stored_chunk_table(spark, f"{folder}/chunks", 8)
-    manifest = manifest_table(spark, f"{folder}/manifest", 8)
+    chunks, manifest = _stored_tables(spark)
     customers = table(spark, sf, "customer")
 
     def payloads(rows):
@@ -644,6 +666,131 @@ def incremental_run(spark, sf):
     return report.select("source_id", "status", "action", "new_records", "records_in_db")
 
 
+STORED = ["chunk_id", "source_id", "order", "section", "text", "domain", "version"]
+
+
+def _customer_versions(customers, *names):
+    """Each customer as JSON once per name, a later name being a later arrival."""
+    versions = F.posexplode(F.array(*names)).alias("arrival", "name")
+    rows = customers.select("c_custkey", "c_mktsegment", versions)
+    body = F.to_json(F.struct("name", F.col("c_mktsegment").alias("segment")))
+    return json_payloads(rows.select(F.concat(F.lit("customer-"), "c_custkey").alias("source_id"), "arrival", body.alias("json")))
+
+
+def _customer_runs(spark, sf):
+    chunks, manifest = _stored_tables(spark)
+    customers = table(spark, sf, "customer")
+    incremental_ingest(_customer_versions(customers, F.lit("draft"), F.col("c_name")), chunks, manifest, INGEST)
+    renamed = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("new "), "c_name")).otherwise(F.col("c_name"))
+    return chunks, incremental_ingest(_customer_versions(customers, F.lit("draft"), renamed), chunks, manifest, INGEST)
+
+
+def incremental_rows(spark, sf):
+    """Stored chunks after two runs, in each of which every source comes twice."""
+    return _customer_runs(spark, sf)[0].read().select(*STORED)
+
+
+def run_totals(spark, sf):
+    return ingest_summary(_customer_runs(spark, sf)[1].report)
+
+
+def _edited(docs):
+    return docs.withColumn("text", F.when(F.length("text") > 200, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+
+
+def _text_runs(spark, sf, **how):
+    """Documents stored, then most of them with an edit at their end."""
+    chunks, manifest = _stored_tables(spark)
+    docs = documents(spark, sf)
+    incremental_ingest(text_sources(docs), chunks, manifest, INGEST)
+    incremental_ingest(text_sources(_edited(docs)), chunks, manifest, INGEST, **how)
+    return chunks.read().select(*STORED)
+
+
+def text_ingest(spark, sf):
+    return _text_runs(spark, sf)
+
+
+def keep_existing_ingest(spark, sf):
+    """The same without clearing: chunks with other ids stay, an edit behind the part that makes the id is stored."""
+    return _text_runs(spark, sf, clear_source=False)
+
+
+def qna_ingest(spark, sf):
+    """Conversations stored with answers that change in the second run."""
+    chunks, manifest = _stored_tables(spark)
+    pairs = qna_pairs(table(spark, sf, "conversations"))
+    ingest_qna(pairs.withColumn("answer", F.lit("not known yet")), chunks, manifest, INGEST)
+    ingest_qna(pairs, chunks, manifest, INGEST)
+    return chunks.read().select(*STORED)
+
+
+# --- files and hooks -------------------------------------------------------------------------
+
+
+def _one_file_each(rows, form):
+    """A folder in which every row has a file of its own."""
+    folder = f"{shared_folder(rows.sparkSession)}/files-{uuid.uuid4().hex}"
+    rows.write.format(form).option("maxRecordsPerFile", 1).save(folder)
+    return folder
+
+
+def json_file_sources(spark, sf):
+    """Suppliers written as JSON files and read as sources; names of files are not compared."""
+    folder = _one_file_each(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "json")
+    return json_files(spark, folder).select("source_hash", "json")
+
+
+def json_file_records(spark, sf):
+    record = F.to_json(F.struct("s_suppkey", F.array(F.struct(F.col("s_name").alias("name"))).alias("items")))
+    folder = _one_file_each(table(spark, sf, "supplier").select(F.concat(F.lit("["), record, F.lit("]"))), "text")
+    rows = json_records(spark, folder, "s_suppkey long, items array<struct<name:string>>")
+    return rows.select("s_suppkey", F.col("items")[0]["name"].alias("name"))
+
+
+def query_files(spark, sf):
+    """Files with a list of two queries and a number, which is no query."""
+    first = F.to_json(F.struct(F.col("user_text").alias("query_text"), F.lit(5).alias("top_k")))
+    second = F.to_json(F.struct(F.col("user_text").alias("query_text"), F.array(F.lit("sports")).alias("domains")))
+    body = F.concat(F.lit("["), first, F.lit(", 7, "), second, F.lit("]"))
+    asked = query_file(spark, _one_file_each(questions(spark, sf).select(body), "text"))
+    return asked.select("query_text", "top_k", joined("domains").alias("domains"))
+
+
+def previews(spark, sf):
+    """Chunks of suppliers, a source for each nation, written for a look and read back."""
+    docs = text_documents(table(spark, sf, "supplier"), F.concat(F.lit("nation-"), "s_nationkey"), F.col("s_name"))
+    folder = f"{shared_folder(spark)}/previews-{uuid.uuid4().hex}"
+    write_previews(chunk_documents(docs), folder)
+    rows = spark.read.schema("chunk_id string, source_id string, text string, source string").json(folder)
+    return rows.select("chunk_id", "source_id", "text", "source")
+
+
+def embedder_hook(spark, sf):
+    embed = model_embedding(lambda: lambda texts: [[len(t), t.count("e")] for t in texts])
+    rows = documents(spark, sf).filter(clean(F.col("text")) != "").withColumn("v", embed(F.col("text")))
+    return rows.select("source_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_e"))
+
+
+def answer_hook(spark, sf):
+    """Answers to tagging prompts by a model that fails for chunks without a domain."""
+
+    def ask(prompt):
+        if "\nHint domain: unknown\n" in prompt:
+            raise ValueError("no domain")
+        return f"{len(prompt)} characters"
+
+    prompts = tagging_prompts(spark, sf)
+    return prompts.select("chunk_id", model_answer(lambda: ask)(F.col("prompt")).alias("answer"))
+
+
+def chunker_hook(spark, sf):
+    def sentences(text, source_id, kind):
+        return [("sentence", s) for s in text.split(". ") if s]
+
+    return custom_chunks(documents(spark, sf), sentences).select("chunk_id", "source_id", "order", "section", "text")
+
+
 QUERIES = {
     "normalize_text": normalize_text,
     "tokenize_counts": tokenize_counts,
@@ -667,6 +814,8 @@ QUERIES = {
     "build_chunks": chunk_records,
     "cosine_topk": cosine_topk,
     "ivf_topk": ivf_topk,
+    "ivf_all_cells": ivf_all_cells,
+    "ivf_label_cells": ivf_label_cells,
     "scan_search": scan_search,
     "bm25_search": bm25_search,
     "text_mode_ladder": text_mode_ladder,
@@ -691,6 +840,18 @@ QUERIES = {
     "delete_source": kept_after_delete,
     "incremental_status": incremental_states,
     "incremental_ingest": incremental_run,
+    "incremental_rows": incremental_rows,
+    "ingest_summary": run_totals,
+    "text_ingest": text_ingest,
+    "keep_existing_ingest": keep_existing_ingest,
+    "qna_ingest": qna_ingest,
+    "json_file_sources": json_file_sources,
+    "json_file_records": json_file_records,
+    "query_file": query_files,
+    "write_previews": previews,
+    "embedder_hook": embedder_hook,
+    "answer_hook": answer_hook,
+    "chunker_hook": chunker_hook,
     "payload_hash": payload_hashes,
     "ingest_report": ingest_totals,
     "compare_counts": stored_beside_new,
