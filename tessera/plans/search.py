@@ -35,6 +35,15 @@ def candidate_sizes(queries: DataFrame) -> DataFrame:
     return sized.withColumn("vector_pool", F.greatest(5 * F.col("vector_k"), F.col("vector_k") + 10))
 
 
+def checked_sizes(queries: DataFrame) -> DataFrame:
+    """Stops the job when a query asks for more or fewer rows than is legal; a missing size is filled in later."""
+    for name, (low, high) in (("top_k", TOP_K_RANGE), ("vector_k", CHANNEL_K_RANGE), ("text_k", CHANNEL_K_RANGE)):
+        wrong = F.raise_error(F.concat(F.lit(f"{name} must be between {low} and {high}: "), F.col(name).cast("string")))
+        legal = F.col(name).isNull() | F.col(name).between(low, high)
+        queries = queries.withColumn(name, F.when(legal, F.col(name)).otherwise(wrong.cast("int")))
+    return queries
+
+
 def filter_lists(queries: DataFrame) -> DataFrame:
     """Adds the cleaned constraint lists; an empty list constrains nothing."""
     return (
@@ -55,8 +64,8 @@ def complete_queries(queries: DataFrame) -> DataFrame:
 
 
 def prepare_queries(queries: DataFrame, cfg: SearchConfig, embed=None) -> DataFrame:
-    """Queries ready for both channels; blank ones are left out."""
-    ready = filter_lists(candidate_sizes(complete_queries(queries))).filter(F.col("query_text") != "")
+    """Queries ready for both channels; blank ones are left out, sizes out of range stop the job."""
+    ready = filter_lists(candidate_sizes(checked_sizes(complete_queries(queries)))).filter(F.col("query_text") != "")
     vector = embed(F.col("query_text")) if embed else hash_embedding(F.col("query_text"), cfg.embedding_dim)
     return ready if "vector" in ready.columns else ready.withColumn("vector", vector)
 

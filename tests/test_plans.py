@@ -14,7 +14,7 @@ from tessera.plans.build import build_chunks
 from tessera.plans.ingest import incremental_ingest, ingest_qna, pipeline_hash, text_sources
 from tessera.plans.planner import active_filters, plan_prompts, plan_queries
 from tessera.plans.relax import search_with_relaxation
-from tessera.plans.search import hybrid_search
+from tessera.plans.search import hybrid_search, prepare_queries
 from tessera.sources.files import json_files, json_records
 from tessera.sources.payloads import json_payloads, qna_pairs
 from tessera.sources.queries import query_file, query_json, query_texts
@@ -287,6 +287,17 @@ def test_more_rows_than_a_ranking_keeps(spark):
         top_k(rows, ["q"], [F.asc("id")], limit=2, k="k").collect()
 
 
+def test_sizes_out_of_range_stop_a_search(spark):
+    def sizes(top_k, vector_k):
+        rows = spark.createDataFrame([(1, "gym", top_k, vector_k)], "query_id long, query_text string, top_k int, vector_k int")
+        return prepare_queries(rows, SearchConfig()).select("top_k", "vector_k", "text_k").first()
+
+    assert tuple(sizes(None, 250)) == (8, 250, 32)
+    for wrong in ((51, None), (0, None), (8, 251)):
+        with pytest.raises(Exception, match="must be between"):
+            sizes(*wrong)
+
+
 def test_watch_folder(spark, tmp_path):
     folder = tmp_path / "in"
     write_sources(folder, {"a.json": {"x": 1}})
