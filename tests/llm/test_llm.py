@@ -237,3 +237,35 @@ def test_twins_and_pipeline(spark):
         assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cursor.description], cursor.fetchall()), name
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0 and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def similar_lines(lines: list[str]) -> dict[str, str]:
+    """The first line that links reach, by comparing all sets of 8-character shingles."""
+    sets = [{t[k : k + 8] for k in range(len(t) - 7)} for t in lines]
+    first = list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if first[i] != first[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = [new if f == old else f for f in first]
+    return {t: lines[f] for t, f in zip(lines, first)}
+
+
+def kept_lines(docs_of, lines: list[str]) -> list[str]:
+    rows = dedup_lines(docs_of(list(enumerate(lines)))).where("n_removed = 0").orderBy("doc_id").collect()
+    return [r["text"] for r in rows]
+
+
+def test_lines_of_a_template(docs_of):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    shared, lines = " ".join(word() for _ in range(34)), []
+    for k in range(240):
+        own = [word() for _ in range(6)]
+        lines.append(" ".join([*own[:3], shared, *own[3:]]))
+        if k % 3 == 0:
+            lines.append(" ".join([*own[:3], shared, *own[3:5], word()]))
+    r.shuffle(lines)
+    first = similar_lines(lines)
+    assert len(set(first.values())) == 240
+    assert kept_lines(docs_of, lines) == [t for t in lines if first[t] == t]
