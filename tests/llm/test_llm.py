@@ -269,3 +269,14 @@ def test_lines_of_a_template(docs_of):
     first = similar_lines(lines)
     assert len(set(first.values())) == 240
     assert kept_lines(docs_of, lines) == [t for t in lines if first[t] == t]
+
+
+def test_lines_without_spaces(docs_of):
+    r = random.Random(4)
+    lines = []
+    for low, high in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x30, 0x5A)):
+        base = "".join(chr(r.randint(low, high)) for _ in range(300))
+        lines += [base, "X" + base, base[:150] + "Y" + base[150:], "".join(chr(r.randint(low, high)) for _ in range(300))]
+    lines += ["\t".join(str(k * k) for k in range(60)), "a\t" + "\t".join(str(k * k) for k in range(60))]
+    first = similar_lines(lines)
+    assert kept_lines(docs_of, lines) == [t for t in lines if first[t] == t] and len(set(first.values())) == 9
