@@ -50,33 +50,39 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order: they end at a line's end or at . ! ? ; : before white space."""
+def normalised(text: Column) -> Column:
+    """The pieces of a text in lower case, each between line feeds: they end at a line's end or at . ! ? ; : before white space."""
     ended = F.regexp_replace(text, r"[.!?;:]+([ \t\r\f]|\z)", "\n")
     plain = F.regexp_replace(F.translate(ended, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    return F.split(F.regexp_replace(plain, r" *\n[ \n]*", "\n"), "\n")
+    return F.regexp_replace(F.concat(F.lit("\n"), plain, F.lit("\n")), r" *\n[ \n]*", "\n")
 
 
 def scan_licenses(docs: DataFrame, known: dict[int, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """Licences of every document: `doc_id, n_sentences, sequence, rules, licenses`.
 
     `sequence` lists the numbers of the known sentences in text order; a rule fits where its numbers stand next to
-    each other in it. `rules` and `licenses` are sorted and distinct. Sentences are looked up by a hash join with
-    the known ones, a constant list of some dozens of rows. Only rows that match are shuffled.
+    each other in it. `rules` and `licenses` are sorted and distinct. `n_sentences` counts the pieces of `normalised`.
+    A known sentence is found where one piece or several in a row make it up, so line ends, comment signs and marks
+    inside it (a wrapped notice, "free software: you can", "v. 2.0") do not matter; of those that begin at one place
+    the longest counts. One pass per text with a pattern of the constant list, no join.
 
     A null or empty text has no sentence and empty lists. Rows of the same doc_id are read as one document's parts
     in no set order of rows; rows without a doc_id are left out, an empty table gives no rows, other columns are
     not read.
     """
-    spark = docs.sparkSession
-    lookup = spark.createDataFrame([(v, k) for k, v in known.items()], "sentence string, number int")
-    rows = documents_of(docs).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("at", "raw"))
-    rows = rows.select("doc_id", "at", F.trim("raw").alias("sentence")).where("sentence <> ''")
-    found = rows.join(F.broadcast(lookup), "sentence", "left")
-    found = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_sentences"),
-        F.collect_list(F.when(F.col("number").isNotNull(), F.struct("at", "number"))).alias("hits"),
-    )
+    longest_first = sorted(known.values(), key=len, reverse=True)
+    pattern = r"(?<=\n)(?:" + "|".join(v.replace(" ", "[ \n]") for v in longest_first) + r")(?=\n)"
+    number = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    rows = documents_of(docs).select("doc_id", normalised(F.col("text")).alias("plain"))
+    rows = rows.withColumn("found", F.regexp_extract_all("plain", F.lit(pattern), F.lit(0)))
+    # What stands before each hit ends in a line feed, so the line feeds up to a hit number its first piece.
+    parts = F.when(F.size("found") > 0, F.split("plain", pattern, -1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("ends", F.transform(F.arrays_zip("found", F.slice(parts, 1, F.size("found")).alias("before")), lambda x: F.struct(lines(x["before"]).alias("before"), lines(x["found"]).alias("inside"))))
+    at = lambda i: F.aggregate(F.slice("ends", 1, i), F.lit(0), lambda n, x: n + x["before"] + x["inside"]) + F.get("ends", i)["before"]
+    hit = lambda x, i: F.struct(at(i).alias("at"), F.element_at(number, F.translate(x, "\n", " ")).alias("number"))
+    found = rows.select("doc_id", (lines(F.col("plain")) - 1).cast("long").alias("n"), F.transform("found", hit).alias("hits"))
+    found = found.groupBy("doc_id").agg(F.sum("n").alias("n_sentences"), F.flatten(F.collect_list("hits")).alias("hits"))
     numbers = F.transform(F.array_sort("hits"), lambda x: x["number"])
     rows = docs.where("doc_id is not null").select("doc_id").distinct().join(found, "doc_id", "left")
     rows = rows.select("doc_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce(numbers, F.array().cast("array<int>")).alias("sequence"))
