@@ -303,3 +303,25 @@ def test_licence_notices_wrapped_or_not(docs_of):
             want[rows[-1][0]] = [name]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs_of(rows)).collect()}
     assert got == want
+
+
+def test_near_copies_of_the_pipeline(spark, docs_of):
+    import corpus_pipeline
+
+    rows = [(k, prose(200 + k, 150)) for k in range(8)]
+    for k, changes in enumerate((1, 2, 3, 4, 5, 7, 9, 12)):
+        w = rows[k][1].split(" ")
+        for c in range(changes):
+            w[8 + 11 * c] = f"changed{c}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(300, rows[0][1]), (301, ""), (302, None), (303, "one two"), (304, "one two"), (304, "one two")]
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := WORD.findall((t or "").lower())) else set() for d, t in rows}
+    likeness = {(d, e): len(a & b) / len(a | b) for d, a in sets.items() for e, b in sets.items() if d < e and a and b}
+    assert any(0.8 <= x < 0.9 for x in likeness.values()) and any(0.5 < x < 0.8 for x in likeness.values())
+    label = {d: d for d in sets}
+    for _ in range(3):
+        for (d, e), x in likeness.items():
+            if x >= 0.8:
+                label[d] = label[e] = min(label[d], label[e])
+    kept = [r["doc_id"] for r in corpus_pipeline.unique_documents(spark, docs_of(rows), "").collect()]
+    assert sorted(kept) == sorted(d for d in sets if label[d] == d)
