@@ -325,3 +325,15 @@ def test_near_copies_of_the_pipeline(spark, docs_of):
                 label[d] = label[e] = min(label[d], label[e])
     kept = [r["doc_id"] for r in corpus_pipeline.unique_documents(spark, docs_of(rows), "").collect()]
     assert sorted(kept) == sorted(d for d in sets if label[d] == d)
+
+
+def test_links_to_blocked_addresses_without_a_row(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "https://a.example.net/1", link.format("https://example.org/es/x")), (2, "https://a.example.net/2", '<META HTTP-EQUIV="Refresh" CONTENT="0; URL=https://www.example.org/es/y">'),
+        (3, "https://b.example.com/new/3", "<LINK REL=Canonical HREF='/de/3'>"), (4, "https://b.example.com/new/4", link.format("../de/./4")), (5, "https://b.example.com/new/5", link.format("//c.example.com/de/5")),
+        (6, "https://a.example.net/6", link.format("https://a.example.net/q?a=1&amp;b=2")), (7, "https://a.example.net/q?b=2&a=1", link.format("https://example.org/es/z")),
+        (8, "https://b.example.com/fr/8", link.format("/de/8")), (9, "https://a.example.net/9", link.format("10")), (10, None, link.format("/de/10")), (11, "https://a.example.net/11", link.format("mailto:x@example.org")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" if k <= 7 else "allow" for k in range(1, 12)}
