@@ -104,4 +104,27 @@ SELECT doc_id, n_sentences, sequence,
 FROM h
 """
 
-ORACLES = {"op5_mix": OP5, "op7_urls": OP7, "op10_licenses": OP10}
+_TERMS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH t AS (
+  SELECT doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE doc_id IS NOT NULL
+), d AS (
+  SELECT doc_id, terms, len(terms)::BIGINT AS n, row_number() OVER () AS row FROM t WHERE len(terms) > 0
+), c AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d
+), i AS (
+  SELECT DISTINCT item_id, unnest(list_distinct({_TERMS.format("text")})) AS term FROM benchmark WHERE item_id IS NOT NULL
+), o AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * c.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM o, c GROUP BY term, c.docs
+), s AS (
+  SELECT i.item_id, d.doc_id, d.row, sum(w.weight * ((1000000000 * o.tf) // (1000 * o.tf + 8 * (10 + (90 * d.n * c.docs) // c.total))))::BIGINT AS score
+  FROM i JOIN o USING (term) JOIN w USING (term) JOIN d ON d.row = o.row, c GROUP BY i.item_id, d.doc_id, d.row
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+ORACLES = {"op5_mix": OP5, "op7_urls": OP7, "op10_licenses": OP10, "op11_ranked": OP11}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align
+from tessera.llm.anomaly import judge_rules
 from tessera.llm.common import table
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.licenses import scan_licenses
@@ -14,6 +16,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.nearest import nearest
 from tessera.llm.packing import pack
 from tessera.llm.quality import held_out, score, train
+from tessera.llm.ranked import rank_documents
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.urls import judge_urls
 
@@ -22,10 +25,10 @@ NEAREST_FACTOR = 5.0
 QUALITY_LIMIT = 0.3
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -83,6 +86,20 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_sentences", *lists)
 
 
+def op11_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
+
+
+def op12_align(spark: SparkSession, sf: str) -> DataFrame:
+    return align(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("groups")
+
+
+def op13_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = judge_rules(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pack, op2_nearest, op3_repeats, op4_media, op5_mix, op6_jaccard, op7_urls, op8_lines, op9_quality, op10_licenses)
+    f.__name__: f
+    for f in (op1_pack, op2_nearest, op3_repeats, op4_media, op5_mix, op6_jaccard, op7_urls, op8_lines, op9_quality, op10_licenses, op11_ranked, op12_align, op13_rules)
 }
