@@ -32,6 +32,14 @@ def documents_of(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores behind it where a column has it already (in capitals or not)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

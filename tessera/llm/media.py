@@ -8,7 +8,8 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ SHARD_BYTES = 64 << 20
 HEADER_BYTES = 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
 STORED = "doc_id long, n_bytes long, digest binary, shard string, place long, media_bytes long"
-MEASURED = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
+MEASURED = "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, width int, height int, shard string, place long"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -98,7 +99,7 @@ class _Shard:
 
     def write(self, folder: str) -> str:
         """Puts the shard under a name made from its content; a repeated task writes the same file again."""
-        name = f"media-{hashlib.sha256(b''.join(self.members)).hexdigest()[:40]}.tar"
+        name = f"{hashlib.sha256(b''.join(self.members)).hexdigest()[:24]}.tar"
         system, path = _store(folder)
         system.create_dir(path, recursive=True)
         part = f"{path}/.{name}.{uuid.uuid4().hex}"
@@ -106,12 +107,12 @@ class _Shard:
             out.write(self.buffer.getbuffer())
             out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
         system.move(part, f"{path}/{name}")
-        return f"{folder.rstrip('/')}/{name}"
+        return name
 
 
 def store_media(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes every text's image into tar shards in `folder` (one all executors reach): a row with digest, shard,
-    place and length for each document. A shard holds each content once; texts are not shuffled for that."""
+    """Writes every text's image into tar shards in `folder` (one all executors reach): a row with digest, name of the
+    shard, place and length for each document. A shard holds each content once; texts are not shuffled for that."""
 
     def stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
@@ -139,47 +140,49 @@ def store_media(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
     return documents_of(docs).mapInArrow(stored, STORED)
 
 
-def image_sizes(members: DataFrame) -> DataFrame:
+def image_sizes(members: DataFrame, folder: str) -> DataFrame:
     """`digest, width, height` of stored images: only HEADER_BYTES of each are read."""
 
     def headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [image_size(header) for header in _ranges(batch, HEADER_BYTES)]
+            found = [image_size(header) for header, _ in _members(batch, folder)]
             yield pa.record_batch([column(batch, "digest"), pa.array([w for w, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int32())], names=["digest", "width", "height"])
 
     return members.select("digest", "shard", "place", "media_bytes").mapInArrow(headers, "digest binary, width int, height int")
 
 
-def _ranges(batch: pa.RecordBatch, most: int | None = None) -> Iterator[bytes]:
-    """The bytes of each row's member, or its first `most` bytes; a shard stays open for the rows that follow."""
+def _members(batch: pa.RecordBatch, folder: str) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
+    """The header of each row's member, and a function that reads the rest; a shard stays open for the rows that follow."""
     now, source = None, None
     try:
         for shard, place, length in zip(*(column(batch, c).to_pylist() for c in ("shard", "place", "media_bytes")), strict=True):
             if shard != now:
                 if source:
                     source.close()
-                system, path = _store(shard)
+                system, path = _store(f"{folder.rstrip('/')}/{shard}")
                 now, source = shard, system.open_input_file(path)
-            yield source.read_at(min(length, most or length), place)
+            head = min(length, HEADER_BYTES)
+            yield source.read_at(head, place), partial(source.read_at, length - head, place + head)
     finally:
         if source:
             source.close()
 
 
-def measure(members: DataFrame) -> DataFrame:
-    """Reads the stored images back and computes their columns, see MEASURED."""
+def measure(members: DataFrame, folder: str) -> DataFrame:
+    """Columns of the stored images, see MEASURED: sizes from a range read of the header, the others from the rest."""
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for digest, media in zip(column(batch, "digest").to_pylist(), _ranges(batch), strict=True):
+            for digest, shard, place, (header, rest) in zip(*(column(batch, c).to_pylist() for c in ("digest", "shard", "place")), _members(batch, folder), strict=True):
+                size, media = image_size(header), header + rest()
                 payload = decode_image(media)
                 if hashlib.sha256(payload).digest() != digest:
                     raise ValueError("the stored bytes are not those of their digest")
-                rows.append((digest, len(payload), digest.hex(), zlib.crc32(payload[-UNIT:]), hashlib.sha256(media).hexdigest(), feature_of(payload)))
-            names = [c.split()[0] for c in MEASURED.split(", ")]
-            types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                rows.append((digest, len(payload), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).digest(), feature_of(payload), *size, shard, place))
+            names, types = zip(*(c.split() for c in MEASURED.split(", ")), strict=True)
+            kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+            yield pa.record_batch([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
 
     return members.select("digest", "shard", "place", "media_bytes").mapInArrow(measured, MEASURED)
 
@@ -198,7 +201,10 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
         folder = f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     stored = cut(store_media(docs, folder, shard_bytes))
     first = stored.groupBy("digest").agg(F.min(F.struct("shard", "place", "media_bytes")).alias("at")).select("digest", "at.*")
-    members = cut(first.repartition(F.col("shard"), F.pmod(F.xxhash64("digest"), F.lit(16))).sortWithinPartitions("shard", "place"))
-    columns = cut(measure(members).join(image_sizes(members), "digest"))
-    rows = stored.select("doc_id", "n_bytes", "digest").join(members, "digest").join(columns, "digest")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "place")
+    members = first.repartition(F.col("shard"), F.pmod(F.xxhash64("digest"), F.lit(16))).sortWithinPartitions("shard", "place")
+    rows = stored.select("doc_id", "n_bytes", "digest").join(measure(members, folder), "digest")
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", "n_bytes", "payload_bytes", hexed("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256").alias("media_sha256"),
+        "feature", "width", "height", F.concat(F.lit(f"{folder.rstrip('/')}/"), "shard").alias("shard"), "place",
+    )

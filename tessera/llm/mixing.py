@@ -31,20 +31,20 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], budget: float,
     return rows.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(common * F.col("weight"))).select("source_key", "source_size", "target")
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most_epochs: float = 2, seed: str = "mix") -> DataFrame:
-    """Words that a mix takes of every document: `doc_id, size, source_size, target, taken`.
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most_epochs: float = 2, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
+    """Words that a mix takes of every document: `doc_id, size, source_size, target, taken`, and the columns `also`.
 
     A source's words are taken in whole epochs first; the rest of its target goes to documents in the order of
     their keys -ln(u) / quality until the prefix sum of sizes reaches it, so only the last one is taken in part.
-    `u` comes from the document's id, so reruns agree. `quality` is a table of `doc_id` and `weight` (above 0);
-    documents that it does not name weigh 1. A hot source is sorted in buckets of its keys, not in one task.
+    `u` comes from the document's id, so reruns agree. `quality` is a table of `doc_id` and `weight`;
+    documents that it does not name, or gives no weight above 0, weigh 1. A hot source is sorted in buckets of its keys, not in one task.
 
     A null text has size 0; a null source is a source of its own, the last one; rows without a doc_id are left out.
     Repeated rows are documents of their own. An empty table gives no rows. Other columns are not read.
     """
-    rows = documents_of(docs, "source").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = documents_of(docs, "source", *also).select("doc_id", "source", *also, word_count(F.col("text")).alias("size"))
     if quality is not None:
-        of = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
+        of = quality.where("doc_id is not null and weight > 0 and weight < double('inf')").groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
         rows = rows.join(of, "doc_id", "left")
     else:
         rows = rows.withColumn("weight", F.lit(None).cast("double"))
@@ -54,6 +54,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
             "doc_id",
             "size",
             "source",
+            *also,
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"),
             (-F.ln(u) / F.coalesce("weight", F.lit(1.0))).alias("key"),
         )
@@ -78,4 +79,5 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"),
+        *also,
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import column, documents_of, mix64, text_hashes, text_slices, word_codes
 from tessera.sources.cut import cut
@@ -130,6 +131,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     A null or empty text has no features and gets the score of the bias alone. Rows without a doc_id are left out,
     repeated rows are scored each, an empty table gives no rows, other columns are not read.
     """
+    return with_score(documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, "score").select("doc_id", "score")
+
+
+def with_score(docs: DataFrame, weights: np.ndarray, name: str) -> DataFrame:
+    """All rows and columns of `docs` with the score of their texts in the column `name`, which must be free."""
     weights = weights.astype(np.float32)
 
     def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +143,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             keys, values, begins = features(column(batch, "text"))
             sums = np.concatenate([[0.0], np.cumsum(weights[keys] * values)])
             logits = sums[begins[1:]] - sums[begins[:-1]] + BIAS * float(weights[-1])
-            yield pa.record_batch(
-                [column(batch, "doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))))], names=["doc_id", "score"]
-            )
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35)))))
 
-    return documents_of(docs).mapInArrow(scores, "doc_id long, score double")
+    return docs.mapInArrow(scores, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

@@ -10,7 +10,7 @@ from tessera.llm.anomaly import judge_rules
 from tessera.llm.common import table
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.licenses import scan_licenses
-from tessera.llm.lines import removed_lines
+from tessera.llm.lines import removed_lines, text_key
 from tessera.llm.media import media_columns
 from tessera.llm.mixing import mix
 from tessera.llm.nearest import nearest
@@ -67,9 +67,9 @@ def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    gone = removed_lines(docs).select("doc_id", F.size("removed").cast("long").alias("n"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+    gone = removed_lines(docs).select("doc_id", "text_key", F.size("removed").cast("long").alias("n"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    rows = docs.where("doc_id is not null").select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left")
+    rows = docs.where("doc_id is not null").select("doc_id", text_key().alias("text_key"), n_lines.alias("n_lines")).join(gone, ["doc_id", "text_key"], "left")
     return rows.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed_lines"))
 
 

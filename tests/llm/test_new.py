@@ -203,3 +203,54 @@ def test_forest_paths():
             total += path[node]
         assert math.isclose(score, 2 ** (-total / 40 / float(anomaly.mean_path(256))))
     assert got[1] > got[0] + 0.05 and got[2] > got[0] + 0.05
+
+
+def test_repeated_ids_lose_no_links_and_no_lines(spark, docs_of):
+    """Different texts of one doc_id: all their links count, and no line goes that stands nowhere else."""
+    from tessera.llm.jaccard import jaccard_components
+    from tessera.llm.lines import dedup_lines
+
+    r = random.Random(1)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(90))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a + " x"), (3, "y " + b), (4, c), (5, c + " z"), (5, ""), (6, ""), (1, a)]
+    got = sorted((x["doc_id"], x["component_id"]) for x in jaccard_components(docs_of(rows)).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6)]
+    x, y, z, w = (text() for _ in range(4))
+    rows = [(0, x), (1, f"{y}\n{x}"), (1, f"{w}\n{z}"), (1, f"{w}\n{z}"), (2, z), (None, x)]
+    docs = docs_of(rows).withColumns({n: F.lit("own") for n in ("removed", "_lines", "_kept", "lines", "_removed", "text_key", "pos")})
+    out = dedup_lines(docs)
+    assert [c for c in docs.columns if c not in out.columns] == []
+    assert sorted((k["doc_id"] is None, k["doc_id"], k["text"]) for k in out.collect()) == sorted([(False, 0, x), (False, 1, y), (False, 1, f"{w}\n{z}"), (False, 1, f"{w}\n{z}"), (False, 2, ""), (True, None, x)], key=lambda k: (k[0], k[1] or 0, k[2]))
+
+
+def test_stages_with_odd_rows(spark, docs_of, tmp_path):
+    """Repeated ids, rows without an id, null texts and clashing columns go through every stage without loss or gain."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(k, k % 2) for k in range(0, 40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(("alpha", "beta", "gamma", "delta")) + str(r.randint(0, 99)) for _ in range(n))
+    good = [(k, text(60), "s") for k in range(1, 40, 2)]
+    bad = [(k, "#%$ |||| " * 30, "s") for k in range(0, 40, 2)]
+    rows = good + bad + [(1, bad[0][1], "s"), (None, good[1][1], "s"), (50, None, "t"), (51, "", None), (53, text(60), "s")] + [(53, text(30), "s"), (52, text(5), "u"), (52, text(5), "u")]
+    extra = {n: F.lit("own") for n in ("removed", "copies", "score", "n_lines", "row", "row_key", "label", "_lines", "taken")}
+    docs = docs_of(rows).withColumns(extra)
+    kept = p.good_documents(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    texts = Counter((x["doc_id"], x["text"]) for x in kept.collect())
+    assert all((d, t) in texts for d, t, _ in good) and not any((d, t) in texts for d, t, _ in bad) and (1, bad[0][1]) not in texts and (None, good[1][1]) in texts
+    lines = p.unique_lines(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns and lines.where("n_lines = 'own' and removed = 'own'").count() == lines.count()
+    assert not [k for k in (50, 51, 53) if lines.where(F.col("doc_id") == k).isEmpty()]
+    unique = p.unique_documents(spark, docs_of(rows + rows[:3]).withColumns(extra), str(tmp_path))
+    found = Counter((x["doc_id"], x["text"]) for x in unique.collect())
+    assert unique.columns == docs.columns and set(found.values()) == {1} and (53, rows[-3][1]) in found and (53, rows[-4][1]) in found
+    assert [d for d, t in found if t == bad[0][1]] == [0] and all((d, t) in found for d, t, _ in good) and (None, good[1][1]) not in found
+    mixed = p.mixed_sources(spark, docs, str(tmp_path))
+    taken = {(x["doc_id"], x["row"]): x for x in p.mix(docs.withColumn("row", F.col("text")), also=("row",)).collect()}
+    assert mixed.columns == docs.columns and len(taken) > 40
+    out = Counter((x["doc_id"], x["text"]) for x in mixed.collect())
+    assert all(n <= 2 * sum(1 for d, t, _ in rows if (d, t) == k) for k, n in out.items())
+    for stage in (p.good_documents, p.unique_lines, p.unique_documents, p.mixed_sources, p.packed_sequences):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
