@@ -16,9 +16,9 @@ from tessera.sources.cut import cut
 # Terms are maximal runs of ASCII letters and digits and of anything beyond ASCII; only A-Z are lowered.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # A shard of the index holds the documents of about so much text; items are searched in blocks of about so many.
-SHARD_BYTES, BLOCK_ITEMS = 16 << 20, 512
+SHARD_BYTES, BLOCK_ITEMS = 8 << 20, 512
 # Shards whose posting lists for a block's terms have about so many bytes are searched together.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 # Intervals of so few documents are scored as a whole, and so many intervals are taken from the queue at a time.
 LEAF, WIDTH = 24, 64
 
