@@ -130,7 +130,6 @@ class SearchConfig:
     score_digits: int = 9
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    term_salts: int = 8
     nprobe: int = 8
     embedding_dim: int = 64
     # A query block is sent to every task only while it has at most this many rows and bytes;

@@ -190,40 +190,6 @@ class PhraseScorer:
         return out
 
 
-class TermScorer:
-    """BM25 of the tokens of a chunk against the weighted terms of the queries."""
-
-    column = "words"
-    keep_zero = False
-
-    def __init__(self, k1: float, b: float, table: pa.Table, digits: int):
-        self.k1, self.b, self.digits = k1, b, digits
-        lists = [w or [] for w in table.column("weights").to_pylist()]
-        self.table = TermTable([[(w["term"], w["idf"]) for w in ws] for ws in lists])
-        self.vocabulary = pa.array(self.table.terms, pa.string())
-        self.n = len(lists)
-        self.step = rows_at_once(self.n)
-        self.mean = next((m for m in table.column("mean").to_pylist() if m), 1.0)
-
-    def usable(self, column: pa.Array) -> np.ndarray:
-        return np.asarray(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
-
-    def scores(self, column: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        parts = [self._rows(column.take(pa.array(rows[i : i + self.step]))) for i in range(0, len(rows), self.step)]
-        return np.round(np.concatenate(parts)[:, queries].T, self.digits)
-
-    def _rows(self, lists: pa.Array) -> np.ndarray:
-        lengths = np.asarray(pc.list_value_length(lists))
-        known = pc.index_in(lists.flatten(), value_set=self.vocabulary)
-        found = np.asarray(pc.fill_null(known, -1)).astype(np.int64)
-        owner = np.repeat(np.arange(len(lists)), lengths)[found >= 0]
-        size = max(1, len(self.vocabulary))
-        pair, tf = np.unique(owner * size + found[found >= 0], return_counts=True)
-        row, term = pair // size, pair % size
-        damp = self.k1 * (1 - self.b + self.b * lengths[row] / self.mean)
-        return self.table.add_up(row, term, tf * (self.k1 + 1) / (tf + damp), len(lists), self.n)
-
-
 class Best:
     """Running top-k per query; ties go to the smaller chunk id."""
 

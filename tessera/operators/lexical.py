@@ -1,89 +1,24 @@
-"""Nearest chunks by words: BM25 over an index of terms, or substring scoring."""
+"""Nearest chunks by words: BM25 over stored postings, or substring scoring."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import partial
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SearchConfig
-from tessera.functions.arrays import no_strings, strings
+from tessera.functions.arrays import strings
 from tessera.functions.text import clean, tokens
-from tessera.operators.blockscan import (
-    FILTER_COLUMNS,
-    HIT_COLUMNS,
-    PhraseScorer,
-    TermScorer,
-    best_chunks,
-    bounded,
-)
+from tessera.operators.blockscan import HIT_COLUMNS, PhraseScorer, best_chunks
+from tessera.operators.postings import CORPUS, FILTER_COLUMNS, Postings, build_postings
 from tessera.operators.topk import top_k
 from tessera.operators.unnest import unnest
 from tessera.sources.cut import cut
 
 
-# Row of the statistics that stands for the whole corpus; no token is empty.
-CORPUS = ""
-
-
-@dataclass(frozen=True)
-class TermIndex:
-    """Tokens per chunk and their statistics.
-
-    words: chunk_id, domain, source_id, version, words, length
-    stats: term, df (chunks with the term), tokens (their total length); the row of the empty
-           term counts all chunks and tokens
-
-    Tokens stay with their chunk, so no term, however common, decides a partition's size.
-    """
-
-    words: DataFrame
-    stats: DataFrame
-
-    def write(self, path: str) -> None:
-        self.words.write.mode("overwrite").parquet(f"{path}/words")
-        stored = self.words.sparkSession.read.parquet(f"{path}/words")
-        term_stats(stored).write.mode("overwrite").parquet(f"{path}/stats")
-
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> "TermIndex":
-        return TermIndex(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/stats"))
-
-
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """Chunk id, filter columns, all tokens of text, title and tags, and their number."""
-    said = F.concat_ws(
-        " ",
-        F.coalesce(F.col("text"), F.lit("")),
-        F.coalesce(F.col("title"), F.lit("")),
-        F.array_join(F.coalesce(F.col("entity_tags"), no_strings()), " "),
-    )
-    words = chunks.select("chunk_id", *FILTER_COLUMNS, tokens(said).alias("words"))
-    return words.withColumn("length", F.size("words"))
-
-
-def term_stats(words: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Statistics per term and of the corpus in one pass; `only` keeps the terms of a query batch."""
-    terms = F.concat(F.array(F.lit(CORPUS)), F.array_distinct("words"))
-    rows = unnest(words, ["length"], terms, "term")
-    if only is not None:
-        rows = rows.join(_with_corpus(only), "term", "left_semi")
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
-
-
-def build_term_index(chunks: DataFrame, only: DataFrame | None = None) -> TermIndex:
-    """Lazy index of a chunk table."""
-    words = chunk_words(chunks)
-    return TermIndex(words, term_stats(words, only))
-
-
-def index_for(chunks: DataFrame, texts: DataFrame) -> TermIndex:
-    """Index whose statistics cover the tokens of the given `query_text` rows, computed once."""
-    terms = unnest(texts, [], F.array_distinct(tokens(F.col("query_text"))), "term").distinct()
-    words = chunk_words(chunks)
-    return TermIndex(words, cut(term_stats(words, terms)))
+def index_for(chunks: DataFrame, texts: DataFrame) -> Postings:
+    """Index of the words of the given `query_text` rows, where none is stored."""
+    terms = unnest(texts, [], F.array_distinct(tokens(F.col("query_text"))), "term")
+    return build_postings(chunks, terms)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -105,71 +40,46 @@ def bm25_hits(
     chunks: DataFrame,
     queries: DataFrame,
     cfg: SearchConfig = SearchConfig(),
-    index: TermIndex | None = None,
+    index: Postings | None = None,
 ) -> DataFrame:
     """BM25 top-k per query with rank.
 
-    Statistics are those of the whole table, so a filter never changes a score. A bounded query
-    batch travels to the chunks with the weights of its terms; a larger one is joined on terms.
+    An equi-join of query words with their postings. With a stored `index` no chunk is read or tokenised; without
+    one, the words of this batch are indexed first. A query word goes to every part of its postings, and there are as
+    many parts as its number of chunks asks, so a word found in most chunks is split over tasks. Statistics are those of
+    the whole table, so a filter never changes a score.
     """
     wanted = query_terms(queries)
     if index is None:
-        index = build_term_index(chunks, wanted.select("term").distinct())
-    # The statistics of the query terms are few; written, they are computed once and their size is known.
-    terms = _with_corpus(wanted.select("term").distinct())
-    stats = cut(index.stats.join(terms, "term", "left_semi"))
-    weighted = weighted_terms(wanted, stats)
-    asked = weighted.groupBy("query_id").agg(
-        *[F.first(c).alias(c) for c in ("k", "domains", "source_ids", "versions", "mean")],
-        F.collect_list(F.struct("term", "idf")).alias("weights"),
-    )
-    table = bounded(asked, cfg)
-    if table is None:
-        return joined_bm25(index.words, weighted, stats, cfg)
-    scorer = partial(TermScorer, cfg.bm25_k1, cfg.bm25_b)
-    return best_chunks(index.words, asked, scorer, cfg, table)
-
-
-def weighted_terms(wanted: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds the inverse document frequency of each term and the mean chunk length."""
-    totals = F.struct(F.col("df").cast("double").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))
-    corpus = stats.filter(F.col("term") == CORPUS).select(totals.alias("c")).scalar()
-    n, df = corpus["n"], F.col("df")
-    return wanted.join(stats.drop("tokens"), "term").select(
-        *wanted.columns, F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), corpus["mean"].alias("mean")
-    )
-
-
-def _with_corpus(terms: DataFrame) -> DataFrame:
-    return terms.union(terms.sparkSession.range(1).select(F.lit(CORPUS)))
-
-
-def joined_bm25(words: DataFrame, weighted: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """BM25 as an equi-join of query terms and chunk terms, for query batches of any size.
-
-    Terms are counted per chunk first. Both sides of the join carry a salt of the chunk id, so a
-    word found in most chunks is split over tasks.
-    """
-    salts = cfg.term_salts
-    asked = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = unnest(words, ["chunk_id", *FILTER_COLUMNS, "length"], F.col("words"), "term")
-    rows = rows.join(stats.select("term"), "term", "left_semi")
-    counted = rows.groupBy("chunk_id", *FILTER_COLUMNS, "length", "term").agg(F.count("*").alias("tf"))
-    salted = counted.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        index = build_postings(chunks, wanted)
+    index = index.of(wanted)
+    asked = weighted_terms(wanted, index.stats).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     k1, b = cfg.bm25_k1, cfg.bm25_b
     tf, length = F.col("tf"), F.col("length")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
+    share = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
+    rows = index.rows.select("term", "part", "chunk_id", *FILTER_COLUMNS, "tf", "length")
     scored = (
-        salted.join(asked, ["term", "_salt"])
+        # Few and written, the query words are sent to the postings while they are small; their sizes are known.
+        rows.join(cut(asked), ["term", "part"])
         .filter(passes_filters())
         .groupBy("query_id", "chunk_id", "source_id")
-        .agg(F.round(F.sum(part), cfg.score_digits).alias("score"), F.first("k").alias("k"))
+        .agg(F.round(F.sum(share), cfg.score_digits).alias("score"), F.first("k").alias("k"))
         .filter(F.col("score") > 0)
     )
     order = [F.desc("score"), F.col("chunk_id")]
     return top_k(scored, ["query_id"], order, k="k").select(*HIT_COLUMNS)
 
 
+def weighted_terms(wanted: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds the inverse document frequency of each word, its parts, and the mean chunk length."""
+    totals = F.struct(F.col("df").cast("double").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))
+    corpus = stats.filter(F.col("term") == CORPUS).select(totals.alias("c")).scalar()
+    n, df = corpus["n"], F.col("df")
+    return wanted.join(stats.select("term", "df", "parts"), "term").select(
+        *wanted.columns, "parts", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), corpus["mean"].alias("mean")
+    )
+
+
 def scan_hits(
     chunks: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig()
 ) -> DataFrame:
@@ -197,7 +107,7 @@ def lexical_hits(
     chunks: DataFrame,
     queries: DataFrame,
     cfg: SearchConfig = SearchConfig(),
-    index: TermIndex | None = None,
+    index: Postings | None = None,
 ) -> DataFrame:
     """Hits of the configured text mode, with the mode that produced them."""
     if cfg.text_mode == "scan":

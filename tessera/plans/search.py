@@ -12,7 +12,8 @@ from tessera.functions.arrays import as_list, no_strings, strings, unique
 from tessera.functions.text import clean
 from tessera.functions.vectors import clamp, hash_embedding
 from tessera.operators.fusion import boost_sets, merge_hits, rank_candidates, stack_channels
-from tessera.operators.lexical import TermIndex, lexical_hits
+from tessera.operators.lexical import lexical_hits
+from tessera.operators.postings import Postings
 from tessera.operators.vector_search import Cells, cell_vector_hits, exact_vector_hits
 from tessera.sources.cut import cut
 from tessera.schemas import PAYLOAD_COLUMNS, QUERY
@@ -94,7 +95,7 @@ def vector_hits(chunks, prepared, cfg: SearchConfig, cells: Cells | None = None)
     return cell_vector_hits(chunks, asked, cells, cfg)
 
 
-def text_hits(chunks, prepared, cfg: SearchConfig, index: TermIndex | None = None) -> DataFrame:
+def text_hits(chunks, prepared, cfg: SearchConfig, index: Postings | None = None) -> DataFrame:
     asked = prepared.select(
         "query_id", F.col("text_k").alias("k"), "domains", "source_ids", "versions", "query_text"
     )
@@ -109,7 +110,7 @@ def hybrid_search(
     chunks: DataFrame | KeyedTable,
     queries: DataFrame,
     cfg: SearchConfig = SearchConfig(),
-    index: TermIndex | None = None,
+    index: Postings | None = None,
     cells: Cells | None = None,
     embed=None,
 ) -> SearchResult:

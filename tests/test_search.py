@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.config import FusionWeights, SearchConfig
 from tessera.functions.text import tokens
 from tessera.operators.fusion import fuse_hits
-from tessera.operators.lexical import TermIndex, bm25_hits, build_term_index, lexical_hits, scan_hits
+from tessera.operators import postings
+from tessera.operators.lexical import bm25_hits, lexical_hits, scan_hits
 from tessera.operators.topk import latest_per_key, top_k
 from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
 from tessera.plans.context import answer_prompts, build_context
@@ -138,17 +139,37 @@ def plain_bm25(corpus, query, d, s, v, k1=1.2, b=0.75):
     return best(out)
 
 
-@pytest.mark.parametrize("cfg", [CFG, TILED], ids=["block", "joined"])
-def test_bm25(spark, corpus, chunks, asked, cfg):
-    got = hits(bm25_hits(chunks, asked, cfg))
+def test_bm25(spark, corpus, chunks, asked):
+    got = hits(bm25_hits(chunks, asked, CFG))
     for i, q, d, s, v in ASKED:
         assert got.get(i, []) == plain_bm25(corpus, q, d, s, v), q
 
 
-def test_bm25_from_stored_index(spark, chunks, asked, tmp_path):
-    build_term_index(chunks).write(str(tmp_path / "index"))
-    stored = TermIndex.read(spark, str(tmp_path / "index"))
-    assert hits(bm25_hits(chunks, asked, CFG, stored)) == hits(bm25_hits(chunks, asked, CFG))
+def test_bm25_from_stored_postings(spark, corpus, chunks, asked, tmp_path, monkeypatch):
+    """Stored in buckets, common words in several parts; chunks are not read, nor are other words' buckets."""
+    monkeypatch.setattr(postings, "PART_ROWS", 7)
+    stored = postings.build_postings(chunks).write(f"{tmp_path}/index", buckets=5)
+    assert stored.stats.where("term = 'the'").first().parts > 1 and stored.rows.where("term = 'the'").select("part").distinct().count() > 1
+    broken = chunks.withColumn("text", F.raise_error(F.lit("read")).cast("string"))
+    got = hits(bm25_hits(broken, asked, CFG, stored))
+    for i, q, d, s, v in ASKED:
+        assert got.get(i, []) == plain_bm25(corpus, q, d, s, v), q
+    one = stored.of(spark.createDataFrame([("gym",)], "term string")).rows
+    assert 0 < len(one.inputFiles()) and one.select(postings.BUCKET).distinct().count() == 1
+    assert "PartitionFilters: [isnotnull(word_bucket" in one._jdf.queryExecution().toString() or "word_bucket" in one._jdf.queryExecution().executedPlan().toString()
+    assert bm25_hits(chunks, asked.limit(0), CFG, stored).count() == 0
+    empty = postings.build_postings(chunks.limit(0)).write(f"{tmp_path}/empty")
+    assert bm25_hits(chunks.limit(0), asked, CFG, empty).count() == 0
+
+
+def test_refreshed_postings_equal_new_ones(spark, chunks, tmp_path):
+    new = chunks.where("source_id = 's1'").withColumn("text", F.concat_ws(" ", "text", F.lit("gym spa")))
+    gone = spark.createDataFrame([("s1",), ("s3",)], "source_id string")
+    stored = postings.build_postings(chunks).write(f"{tmp_path}/index").refreshed(new, gone).write(f"{tmp_path}/next")
+    built = postings.build_postings(chunks.where("source_id not in ('s1', 's3')").unionByName(new))
+    for name, order in (("rows", ["term", "chunk_id"]), ("stats", ["term"])):
+        a, b = getattr(stored, name), getattr(built, name)
+        assert a.select(*b.columns).orderBy(*order).collect() == b.orderBy(*order).collect()
 
 
 def test_ladder_scans_only_silent_queries(spark, chunks, asked):

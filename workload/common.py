@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DomainRules, IngestConfig, SearchConfig
+from tessera.operators.postings import Postings, build_postings
 from tessera.operators.tagging import entities, rule_domain
 from tessera.plans.build import build_chunks
-from tessera.sources.cut import cut
+from tessera.sources.cut import cut, shared_folder
 from tessera.sources.payloads import text_documents
 from tessera.sources.spread import spread
 
@@ -41,6 +44,14 @@ def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     return spread(_written[key])
 
 
+def postings(spark: SparkSession, sf: str) -> Postings:
+    """Index of the chunk table, written once per session as an ingest would."""
+    key = (spark.sparkContext.applicationId, sf, "postings")
+    if key not in _written:
+        _written[key] = build_postings(chunk_table(spark, sf)).write(f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    return _written[key]
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("user_text")

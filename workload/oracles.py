@@ -353,6 +353,12 @@ ORACLES = {
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""",
     "scan_search": f"""WITH {TAGGED}, {PLAIN_Q}, {scan_cte("s", "q")} SELECT query_id, chunk_id, score, rank FROM s""",
     "bm25_search": f"""WITH {TAGGED}, {PLAIN_Q}, {WORDS}, {bm25_cte("s", "q")} SELECT query_id, chunk_id, score, rank FROM s""",
+    "word_postings": f"""WITH {TAGGED}, {WORDS} SELECT term, count(*) AS df, sum(len)::BIGINT AS tokens, sum(tf)::BIGINT AS tf, true AS dealt FROM tf GROUP BY term""",
+    "refreshed_postings": f"""WITH {TAGGED}, {WORDS},
+      r AS (SELECT chunk_id, CASE WHEN regexp_matches(source_id, '[27]$') THEN list_append(words, 'renewed') ELSE words END AS words
+        FROM kbw WHERE NOT regexp_matches(source_id, '[05]$'))
+      SELECT '' AS term, count(*) AS df, sum(len(words))::BIGINT AS tokens FROM r UNION ALL
+      SELECT term, count(*), sum(n)::BIGINT FROM (SELECT unnest(list_distinct(words)) AS term, len(words) AS n FROM r) GROUP BY term""",
     "text_mode_ladder": f"""WITH {TAGGED}, {WORDS},
       q AS (SELECT item_id AS query_id, regexp_replace({SECOND}, '^.|[^a-z]', '', 'g') AS query_text, NULL::VARCHAR AS domain,
         NULL::VARCHAR AS source, 20 AS k FROM benchmark WHERE regexp_replace({SECOND}, '^.|[^a-z]', '', 'g') <> ''),

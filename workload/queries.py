@@ -77,6 +77,7 @@ from workload.common import (
     labelled_documents,
     plain_queries,
     planned_queries,
+    postings,
     questions,
     strict_queries,
     table,
@@ -356,7 +357,24 @@ def scan_search(spark, sf):
 
 def bm25_search(spark, sf):
     queries = filter_lists(complete_queries(plain_queries(spark, sf))).withColumn("k", F.lit(32))
-    return bm25_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
+    return bm25_hits(chunk_table(spark, sf), queries, SEARCH, postings(spark, sf)).drop("source_id")
+
+
+def word_postings(spark, sf):
+    """Every word's chunks and occurrences, from the stored index."""
+    index = postings(spark, sf)
+    times = index.rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("part").alias("filled"))
+    return index.stats.join(times, "term").where("term <> ''").select("term", "df", F.col("tokens").cast("long").alias("tokens"), "tf", (F.col("filled") <= F.col("parts")).alias("dealt"))
+
+
+def refreshed_postings(spark, sf):
+    """The stored index after a run in which the sources of one language went and the others' titles got a new word."""
+    chunks = chunk_table(spark, sf)
+    gone = chunks.select("source_id").where("source_id rlike '[05]$'").distinct()
+    changed = chunks.select("source_id").where("source_id rlike '[27]$'").distinct()
+    new = chunks.join(changed, "source_id", "left_semi").withColumn("title", F.concat_ws(" ", "title", F.lit("Renewed")))
+    index = postings(spark, sf).refreshed(new, gone.union(changed))
+    return index.stats.select("term", "df", F.col("tokens").cast("long").alias("tokens"))
 
 
 def metadata_filters(spark, sf):
@@ -425,11 +443,11 @@ def _evidence(rows):
 
 
 def hybrid_evidence(spark, sf):
-    return _evidence(hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH).evidence)
+    return _evidence(hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH, postings(spark, sf)).evidence)
 
 
 def query_diagnostics(spark, sf):
-    found = hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH).diagnostics
+    found = hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH, postings(spark, sf)).diagnostics
     return found.select(
         "query_id", "top_k", "text_mode", "vector_hits", "text_hits", "final_hits",
         joined("boost_sections").alias("boost_sections"), joined("boost_entity_tags").alias("boost_entity_tags"),
@@ -437,12 +455,12 @@ def query_diagnostics(spark, sf):
 
 
 def relaxed_evidence(spark, sf):
-    result = search_with_relaxation(chunk_table(spark, sf), strict_queries(spark, sf), SEARCH)
+    result = search_with_relaxation(chunk_table(spark, sf), strict_queries(spark, sf), SEARCH, index=postings(spark, sf))
     return result.evidence.select("query_id", "attempt", "rank", "chunk_id", "score")
 
 
 def relaxed_outcome(spark, sf):
-    return search_with_relaxation(chunk_table(spark, sf), strict_queries(spark, sf), SEARCH).outcome
+    return search_with_relaxation(chunk_table(spark, sf), strict_queries(spark, sf), SEARCH, index=postings(spark, sf)).outcome
 
 
 def text_mode_ladder(spark, sf):
@@ -452,7 +470,7 @@ def text_mode_ladder(spark, sf):
         F.regexp_replace(F.lower(F.element_at(F.split("text", " "), 2)), "^.|[^a-z]", "").alias("query_text"),
     )
     queries = filter_lists(complete_queries(words)).withColumn("k", F.lit(20)).filter("query_text <> ''")
-    return lexical_hits(chunk_table(spark, sf), queries, SEARCH).drop("source_id")
+    return lexical_hits(chunk_table(spark, sf), queries, SEARCH, postings(spark, sf)).drop("source_id")
 
 
 def tag_boosts(spark, sf):
@@ -468,7 +486,7 @@ def tag_boosts(spark, sf):
 
 
 def context_texts(spark, sf):
-    found = hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH).evidence
+    found = hybrid_search(chunk_table(spark, sf), planned_queries(spark, sf), SEARCH, postings(spark, sf)).evidence
     context = build_context(found, 3)
     rows = answer_prompts(context, plain_queries(spark, sf))
     return rows.select("query_id", "context", "n_chunks", F.endswith("prompt", F.col("query_text")).alias("asks"))
@@ -476,7 +494,7 @@ def context_texts(spark, sf):
 
 def report_rows(spark, sf):
     queries = planned_queries(spark, sf)
-    found = hybrid_search(chunk_table(spark, sf), queries, SEARCH)
+    found = hybrid_search(chunk_table(spark, sf), queries, SEARCH, postings(spark, sf))
     report = evidence_report(queries, found.diagnostics, found.evidence)
     return report.select(
         "query_id",
@@ -818,6 +836,8 @@ QUERIES = {
     "ivf_label_cells": ivf_label_cells,
     "scan_search": scan_search,
     "bm25_search": bm25_search,
+    "word_postings": word_postings,
+    "refreshed_postings": refreshed_postings,
     "text_mode_ladder": text_mode_ladder,
     "metadata_filter": metadata_filters,
     "candidate_sizes": channel_sizes,
