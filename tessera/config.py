@@ -132,6 +132,8 @@ class SearchConfig:
     bm25_b: float = 0.75
     nprobe: int = 8
     embedding_dim: int = 64
+    # The column of a chunk table that holds the text, where it is not `text`.
+    text_field: str = "text"
     # A query block is sent to every task only while it has at most this many rows and bytes;
     # larger batches are tiled with a shuffle instead.
     block_queries: int = 2048

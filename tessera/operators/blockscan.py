@@ -46,7 +46,6 @@ class QueryBlock:
     ids: np.ndarray
     k: np.ndarray
     filters: list[tuple]
-    probes: list | None
     scorer: object
 
 
@@ -56,12 +55,10 @@ def _filters_of(table: pa.Table) -> list[tuple]:
 
 
 def make_block(table: pa.Table, scorer_of, digits: int) -> QueryBlock:
-    probes = table.column("cells").to_pylist() if "cells" in table.column_names else None
     return QueryBlock(
         ids=table.column("query_id").to_numpy(),
         k=table.column("k").to_numpy().astype(int),
         filters=_filters_of(table),
-        probes=probes,
         scorer=scorer_of(table, digits),
     )
 
@@ -241,20 +238,7 @@ def _score_batch(batch: pa.RecordBatch, block: QueryBlock, best: Best) -> None:
         pc.fill_null(batch.column(batch.schema.get_field_index(name)), "").to_numpy(zero_copy_only=False)
         for name in ("chunk_id", "source_id")
     ]
-    every = np.arange(len(block.ids))
-    if block.probes is None:
-        meetings = [(np.flatnonzero(usable), every)]
-    else:
-        cells = np.asarray(batch.column(batch.schema.get_field_index("cell")))
-        asked = {}
-        for q, probe in enumerate(block.probes):
-            for cell in probe or ():
-                asked.setdefault(cell, []).append(q)
-        meetings = [
-            (np.flatnonzero(usable & (cells == c)), np.array(asked[c]))
-            for c in np.unique(cells[usable])
-            if c in asked
-        ]
+    every, rows = np.arange(len(block.ids)), np.flatnonzero(usable)
     allowed = {}
 
     def passes(wanted: tuple) -> np.ndarray | None:
@@ -268,19 +252,17 @@ def _score_batch(batch: pa.RecordBatch, block: QueryBlock, best: Best) -> None:
             allowed[wanted] = mask
         return allowed[wanted]
 
-    for rows, queries in meetings:
-        for start in range(0, len(queries) if len(rows) else 0, SUB_BLOCK):
-            part = queries[start : start + SUB_BLOCK]
-            scored = scorer.scores(column, rows, part)
-            for q, scores in zip(part, scored):
-                keep = np.ones(len(rows), bool) if scorer.keep_zero else scores > 0
-                mask = passes(block.filters[q])
-                if mask is not None:
-                    keep &= mask[rows]
-                if keep.all():
-                    best.add(q, scores, ids[rows], sources[rows])
-                elif keep.any():
-                    best.add(q, scores[keep], ids[rows[keep]], sources[rows[keep]])
+    for start in range(0, len(every), SUB_BLOCK):
+        part = every[start : start + SUB_BLOCK]
+        for q, scores in zip(part, scorer.scores(column, rows, part)):
+            keep = np.ones(len(rows), bool) if scorer.keep_zero else scores > 0
+            mask = passes(block.filters[q])
+            if mask is not None:
+                keep &= mask[rows]
+            if keep.all():
+                best.add(q, scores, ids[rows], sources[rows])
+            elif keep.any():
+                best.add(q, scores[keep], ids[rows[keep]], sources[rows[keep]])
 
 
 def bounded(queries: DataFrame, cfg: SearchConfig) -> pa.Table | None:
@@ -299,10 +281,6 @@ def _pushed(chunks: DataFrame, table: pa.Table) -> DataFrame:
             values = sorted({v for vs in lists for v in vs})
             if len(values) <= 500:
                 chunks = chunks.filter(F.col(name).isin(values))
-    if "cells" in table.column_names:
-        cells = sorted({c for cs in table.column("cells").to_pylist() for c in cs or ()})
-        if len(cells) <= 5000:
-            chunks = chunks.filter(F.col("cell").isin(cells))
     return chunks
 
 
@@ -311,10 +289,9 @@ def best_chunks(
 ) -> DataFrame:
     """Top-k chunks per query with rank (query_id, chunk_id, source_id, score, rank).
 
-    `queries` holds query_id, k, domains, source_ids, versions (empty list: no constraint), the
-    columns the scorer reads and, for cell search, `cells`; `chunks` holds chunk_id, the filter
-    columns, the scored column and, for cell search, `cell`. `table` is the same batch of queries
-    when the caller has already found it to be bounded.
+    `queries` holds query_id, k, domains, source_ids, versions (empty list: no constraint) and the
+    columns the scorer reads; `chunks` holds chunk_id, the filter columns and the scored column.
+    `table` is the same batch of queries when the caller has already found it to be bounded.
     """
     digits = cfg.score_digits
     if table is None:

@@ -127,20 +127,27 @@ def merge_model_tags(
     )
 
 
-def tag_prompts(chunks: DataFrame) -> DataFrame:
-    """User prompt per chunk for a tagging model (column `prompt`), with the whole text."""
-    unknown = F.lit("unknown")
-    prompt = F.concat(
-        F.lit("Source ID: "),
-        F.coalesce(F.col("source_id"), unknown),
-        F.lit("\nSource type: "),
-        F.coalesce(F.col("source_type"), unknown),
-        F.lit("\nHint domain: "),
-        F.coalesce(F.col("hint_domain"), unknown),
-        F.lit("\n\nChunk:\n"),
-        F.col("text"),
-    )
-    return chunks.withColumn("prompt", prompt)
+TAG_TASK = "Label the chunk for search. Reply with one JSON object of these fields and nothing else."
+# Labels that a tagging model is given: fixed values.
+TAG_LABELS = (("Source ID: ", "source_id"), ("Source type: ", "source_type"), ("Hint domain: ", "hint_domain"))
+
+
+def tag_contract(allowed=C.DOMAINS) -> dict[str, str]:
+    """The fields of a tagging model's answer, as `merge_model_tags` reads them."""
+    return {
+        "domain": "one of: " + ", ".join(allowed),
+        "entity_tags": f"a list of up to {C.MAX_TAGS} names found in the chunk",
+        "key_fields": "an object of facts worth searching for, by name",
+        "confidence": "a number from 0 to 1",
+    }
+
+
+def tag_prompts(chunks: DataFrame, task: str = TAG_TASK, allowed=C.DOMAINS) -> DataFrame:
+    """For a tagging model: `system_prompt` (the task and the answer's fields) and `prompt` (the chunk, with its whole text)."""
+    system = "\n".join([task, *(f"- {name}: {says}" for name, says in tag_contract(allowed).items())])
+    labels = [F.concat(F.lit(label), F.coalesce(F.col(name), F.lit("unknown"))) for label, name in TAG_LABELS]
+    prompt = F.concat(F.concat_ws("\n", *labels), F.lit("\n\nChunk:\n"), F.col("text"))
+    return chunks.withColumns({"system_prompt": F.lit(system), "prompt": prompt})
 
 
 def key_field_map(fields: Column, extra: Column) -> Column:

@@ -43,7 +43,7 @@ def finish_records(
     """Chunks to stored records: tags, vector, metadata, version."""
     tagged = with_rule_tags(complete_documents(chunks), cfg.rules)
     if tagger is not None:
-        asked = tag_prompts(tagged).withColumn("_answer", tagger(F.col("prompt"))).drop("prompt")
+        asked = tag_prompts(tagged).withColumn("_answer", tagger(F.col("prompt"))).drop("prompt", "system_prompt")
         tagged = merge_model_tags(asked, "_answer")
     ready = with_embedding(tagged, "text", cfg.embedding_dim, embed)
     metadata = F.struct("key_fields", "extra", "confidence")

@@ -21,16 +21,10 @@ def build_context(evidence: DataFrame, k: int = DEFAULT_CHUNKS) -> DataFrame:
     )
 
 
-def answer_prompts(contexts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds `prompt`: instructions, context and question."""
-    prompt = F.concat(
-        F.lit(
-            "Answer from the context only. If it does not hold the answer, say that the information "
-            "is missing. Name the hall when giving a price or a feature.\n\nCONTEXT:\n"
-        ),
-        F.col("context"),
-        F.lit("\n\nQUESTION: "),
-        F.col("query_text"),
-    )
-    asked = queries.select("query_id", "query_text")
-    return contexts.join(asked, "query_id").withColumn("prompt", prompt)
+ANSWER_TASK = "Reply to the question with what the passages say. Where they are silent, say that you do not know."
+
+
+def answer_prompts(contexts: DataFrame, queries: DataFrame, task: str = ANSWER_TASK) -> DataFrame:
+    """Adds `prompt`: the task, then the passages, then the question."""
+    prompt = F.concat_ws("\n\n", F.lit(task), F.concat(F.lit("Passages: "), F.col("context")), F.concat(F.lit("Question: "), F.col("query_text")))
+    return contexts.join(queries.select("query_id", "query_text"), "query_id").withColumn("prompt", prompt)

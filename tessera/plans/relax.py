@@ -53,7 +53,7 @@ def search_with_relaxation(
     if cfg.text_mode != "scan" and search.get("index") is None:
         # Term statistics do not depend on filters, so all attempts can share them.
         texts = full.select("query_text").unionByName(bare(full).select("query_text"))
-        search["index"] = index_for(rows_of(chunks), texts)
+        search["index"] = index_for(rows_of(chunks, cfg), texts)
     evidence, attempts, diagnostics = [], [], []
     for number, name, relax in ATTEMPTS:
         found = hybrid_search(chunks, relax(waiting), cfg, **search)

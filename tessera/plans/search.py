@@ -86,7 +86,7 @@ def metadata_filter(chunks: DataFrame, domains=(), source_ids=(), version=None)
 
 def vector_hits(chunks, prepared, cfg: SearchConfig, cells: Cells | None = None) -> DataFrame:
     asked = prepared.select(
-        "query_id", F.col("vector_k").alias("k"), "domains", "source_ids", "versions", "vector"
+        "query_id", F.col("vector_k").alias("k"), "vector_pool", "domains", "source_ids", "versions", "vector"
     )
     if cfg.vector_mode == "exact":
         return exact_vector_hits(chunks, asked, cfg)
@@ -102,8 +102,16 @@ def text_hits(chunks, prepared, cfg: SearchConfig, index: Postings | None = None
     return lexical_hits(chunks, asked, cfg, index)
 
 
-def rows_of(chunks: DataFrame | KeyedTable) -> DataFrame:
-    return chunks.read() if isinstance(chunks, KeyedTable) else chunks
+def rows_of(chunks: DataFrame | KeyedTable, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    return with_text(chunks.read() if isinstance(chunks, KeyedTable) else chunks, cfg.text_field)
+
+
+def with_text(chunks: DataFrame, field: str) -> DataFrame:
+    """Chunks whose `text` is the column named; without such a column it is empty."""
+    if field == "text":
+        return chunks
+    named = F.coalesce(F.col(field).cast("string"), F.lit("")) if field in chunks.columns else F.lit("")
+    return chunks.withColumn("text", named)
 
 
 def hybrid_search(
@@ -122,13 +130,13 @@ def hybrid_search(
     fetches text and metadata of the candidates is planned with their true size.
     """
     table = chunks if isinstance(chunks, KeyedTable) else None
-    chunks = rows_of(chunks)
+    chunks = rows_of(chunks, cfg)
     prepared = cut(prepare_queries(queries, cfg, embed))
     near = vector_hits(chunks, prepared, cfg, cells)
     said = text_hits(chunks, prepared, cfg, index)
     hits = cut(stack_channels(near, said))
     candidates = merge_hits(hits)
-    payload = (table.partitions_of(hits) if table else chunks).select(*PAYLOAD_COLUMNS)
+    payload = (with_text(table.partitions_of(hits), cfg.text_field) if table else chunks).select(*PAYLOAD_COLUMNS)
     found = rank_candidates(candidates.join(payload, "chunk_id"), prepared, cfg.weights, cfg.score_digits)
     evidence = evidence_rows(found)
     return SearchResult(evidence, query_diagnostics(queries, prepared, hits, evidence, cfg))

@@ -12,7 +12,8 @@ from tessera.operators.topk import top_k
 from tessera.operators.upsert import upsert_counts, upsert_rows, without_sources
 from tessera.plans.build import build_chunks
 from tessera.plans.ingest import incremental_ingest, ingest_qna, pipeline_hash, text_sources
-from tessera.plans.planner import active_filters, plan_prompts, plan_queries
+from tessera.plans.planner import PLAN_TASK, active_filters, plan_prompts, plan_queries
+from tessera.schemas import QUERY
 from tessera.plans.relax import search_with_relaxation
 from tessera.plans.search import hybrid_search, prepare_queries
 from tessera.sources.files import json_files, json_records
@@ -28,7 +29,10 @@ def test_plans_without_a_model(spark):
     rows = plan_queries(df).collect()
     assert [(r.query_id, r.query_text, r.top_k, r.domains, r.domain) for r in rows] == [(1, "Maple Court", 8, [], None)]
     prompts = plan_prompts(df).first()
-    assert "Maple Court" in prompts.prompt and "allowed_domains" in prompts.system_prompt
+    assert prompts.prompt == "  Maple   Court \n(cleaned: Maple Court)"
+    assert prompts.system_prompt == plan_prompts(df, task="Do this.").first().system_prompt.replace("Do this.", PLAN_TASK)
+    told = dict(line[2:].split(": ", 1) for line in prompts.system_prompt.split("\n")[1:])
+    assert list(told) == [f.name for f in QUERY] and told["top_k"].startswith("a whole number from 1 to 50") and "sports" in told["domain"]
 
 
 GOOD = {

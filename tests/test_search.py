@@ -13,7 +13,7 @@ from tessera.operators.fusion import fuse_hits
 from tessera.operators import postings
 from tessera.operators.lexical import bm25_hits, lexical_hits, scan_hits
 from tessera.operators.topk import latest_per_key, top_k
-from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells
+from tessera.operators.vector_search import assign_cells, cell_vector_hits, exact_vector_hits, train_cells, write_cells
 from tessera.plans.context import answer_prompts, build_context
 from tessera.plans.search import candidate_sizes, complete_queries, hybrid_search, metadata_filter, prepare_queries
 from tessera.schemas import CHUNK_RECORD
@@ -188,12 +188,52 @@ def test_cells_reach_the_exact_answer_when_all_are_probed(spark, chunks, asked):
     assert hits(cell_vector_hits(celled, asked, cells, full)) == hits(exact_vector_hits(usable, asked, CFG))
     tiled = replace(TILED, nprobe=4)
     assert hits(cell_vector_hits(celled, asked, cells, tiled)) == hits(exact_vector_hits(usable, asked, CFG))
+    wide = asked.withColumn("vector_pool", F.lit(60))
+    assert hits(cell_vector_hits(celled, wide, cells, tiled)) == hits(exact_vector_hits(usable, asked, CFG))
     some = hits(cell_vector_hits(celled, asked, cells, replace(CFG, nprobe=2)))
     exact = hits(exact_vector_hits(usable, asked, CFG))
     overlap = sum(len({c for c, _ in some.get(q, [])} & {c for c, _ in exact[q]}) for q in exact)
     assert overlap >= 0.5 * sum(map(len, exact.values()))
 
 
+def test_stored_cells_are_searched_in_two_steps(spark, tmp_path):
+    """Clustered vectors, a large cell in parts, queries in tiles: recall at 5 % of the cells, and only these are read."""
+    import numpy as np
+    from dataclasses import replace
+
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(40, 12))
+    sizes = [900] + [40] * 39
+    rows = [(f"v{i}-{k}", f"d{k % 3}", "s", "v1", [float(x) for x in centers[i] + 0.25 * r.normal(size=12)]) for i, n in enumerate(sizes) for k in range(n)]
+    rows += [("none", "d0", "s", "v1", None), ("empty", "d0", "s", "v1", []), ("short", "d0", "s", "v1", [1.0])]
+    table = spark.createDataFrame(rows, "chunk_id string, domain string, source_id string, version string, embedding array<double>")
+    asked = [(i, 10, ["d1"] if i % 5 == 0 else [], [], [], [float(x) for x in centers[i % 40] + 0.25 * r.normal(size=12)]) for i in range(80)]
+    asked += [(99, 10, [], [], [], [1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, k int, domains array<string>, source_ids array<string>, versions array<string>, vector array<double>")
+    cells = train_cells(table.where("size(embedding) = 12"), 40)
+    celled = write_cells(assign_cells(table, cells), f"{tmp_path}/cells")
+    assert celled.count() == sum(sizes)
+    exact = hits(exact_vector_hits(table, queries.where("query_id < 99"), CFG))
+    for tile in (100, 20_000):
+        cfg = replace(CFG, nprobe=2, tile_chunks=tile, tile_queries=7)
+        got = hits(cell_vector_hits(celled, queries, cells, cfg))
+        assert 99 not in got and sum(len({c for c, _ in got[q]} & {c for c, _ in exact[q]}) for q in exact) >= 0.9 * sum(map(len, exact.values()))
+    one = cell_vector_hits(celled, queries.where("query_id = 1"), cells, cfg)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString()
+    assert hits(cell_vector_hits(celled, queries, cells, replace(cfg, nprobe=40))) == exact
+    assert cell_vector_hits(celled, queries.limit(0), cells, cfg).count() == 0
+
+
+def test_text_of_another_column(spark, chunks):
+    queries = spark.createDataFrame([(1, "gym")], "query_id long, query_text string")
+    plain = hybrid_search(chunks, queries, SearchConfig(embedding_dim=4)).evidence
+    renamed = chunks.withColumnRenamed("text", "body")
+    named = hybrid_search(renamed, queries, SearchConfig(embedding_dim=4, text_field="body")).evidence
+    columns = ["rank", "chunk_id", "text", "score"]
+    assert plain.select(*columns).orderBy("rank").collect() == named.select(*columns).orderBy("rank").collect()
+    assert hybrid_search(chunks, queries, SearchConfig(embedding_dim=4, text_field="none", text_mode="scan")).evidence.where("text <> ''").isEmpty()
+
+
 def hit(query, chunk, score, rank, text="t", section=None, tags=()):
     return (query, chunk, score, rank, text, section, list(tags))
 
