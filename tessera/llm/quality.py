@@ -16,6 +16,8 @@ from tessera.llm.common import column, documents_of, mix64, text_hashes, text_sl
 from tessera.sources.cut import cut
 
 BITS = 18
+# Texts whose n-grams are in memory at once; they take some 75 times as much.
+SLICE_BYTES = 1 << 20
 SAMPLE_ROWS = 16_000
 SHARDS, EPOCHS = 8, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
@@ -95,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = documents_of(docs).join(F.broadcast(chosen), "doc_id")
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SLICE_BYTES):
             keys, values, begins = features(column(batch, "text"))
             found = []
             for a, b in zip(begins[:-1], begins[1:], strict=True):
@@ -139,7 +141,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, name: str) -> DataFrame:
     weights = weights.astype(np.float32)
 
     def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SLICE_BYTES):
             keys, values, begins = features(column(batch, "text"))
             sums = np.concatenate([[0.0], np.cumsum(weights[keys] * values)])
             logits = sums[begins[1:]] - sums[begins[:-1]] + BIAS * float(weights[-1])
