@@ -254,3 +254,28 @@ def test_stages_with_odd_rows(spark, docs_of, tmp_path):
     assert all(n <= 2 * sum(1 for d, t, _ in rows if (d, t) == k) for k, n in out.items())
     for stage in (p.good_documents, p.unique_lines, p.unique_documents, p.mixed_sources, p.packed_sequences):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_bits_rule_out_no_similar_line(spark):
+    """The bound from bits never rejects a pair of lines that is similar enough, at any length, and rejects unlike lines of usual lengths."""
+    from tessera.llm import lines as L
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    rows, sets = [], {}
+    for k in range(0, 400, 2):
+        one = [word() for _ in range(r.choice((5, 12, 40, 300, 3000)))]
+        other = [word() if r.random() < r.choice((0.01, 0.03, 0.1, 0.5)) else w for w in one]
+        for key, line in ((k, " ".join(one)), (k + 1, " ".join(other))):
+            rows.append((key, line))
+            sets[key] = {line[i : i + 8] for i in range(len(line) - 7)}
+    bits = L.shingle_bits(spark.createDataFrame(rows, "key long, line string"))
+    known = lambda c, rest: bits.where(f"key % 2 = {rest}").select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    met = known("x", 0).join(known("p", 1), F.col("p") == F.col("x") + 1)
+    found = met.select("x", "x_n", L.may_be_similar("x", "p", 0.8).alias("ok")).collect()
+    assert len(found) == 200 and all(f["x_n"] == len(sets[f["x"]]) for f in found)
+    near = {k for k in range(0, 400, 2) if 5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1])}
+    passed = {f["x"] for f in found if f["ok"]}
+    assert near <= passed and len(near) > 20
+    unlike = {k for k in sets if k % 2 == 0 and len(sets[k] | sets[k + 1]) <= 500 and 2 * len(sets[k] & sets[k + 1]) < len(sets[k] | sets[k + 1])}
+    assert len(unlike) > 20 and not unlike & passed
