@@ -14,6 +14,9 @@ from tessera.operators.topk import top_k
 from tessera.operators.unnest import unnest
 from tessera.sources.cut import cut
 
+# A task of BM25 makes about so many rows of a query and a chunk that share a word.
+PAIRS = 1_000_000
+
 
 def index_for(chunks: DataFrame, texts: DataFrame) -> Postings:
     """Index of the words of the given `query_text` rows, where none is stored."""
@@ -44,7 +47,8 @@ def bm25_hits(
 ) -> DataFrame:
     """BM25 top-k per query with rank.
 
-    An equi-join of query words with their postings. With a stored `index` no chunk is read or tokenised; without
+    An equi-join of query words with their postings, brought together by chunk, so that scores are summed where they are
+    found. With a stored `index` no chunk is read or tokenised; without
     one, the words of this batch are indexed first. A query word goes to every part of its postings, and there are as
     many parts as its number of chunks asks, so a word found in most chunks is split over tasks. Statistics are those of
     the whole table, so a filter never changes a score.
@@ -53,16 +57,24 @@ def bm25_hits(
     if index is None:
         index = build_postings(chunks, wanted)
     index = index.of(wanted)
-    asked = weighted_terms(wanted, index.stats).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = cut(weighted_terms(wanted, index.stats).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     k1, b = cfg.bm25_k1, cfg.bm25_b
     tf, length = F.col("tf"), F.col("length")
     share = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
-    rows = index.rows.select("term", "part", "chunk_id", *FILTER_COLUMNS, "tf", "length")
+    # Lists are dealt by chunk before they meet the queries: what is shuffled is a row per posting, not one per posting
+    # and query. There are as many tasks as the rows that come of it ask, so what a task sums fits its memory.
+    df = index.stats.select("term", (F.col("df") / F.col("parts")).alias("df"))
+    made = asked.join(df, "term").agg(F.sum("df").alias("n")).first()["n"] or 0
+    words = asked.select("term").distinct()
+    lists = index.lists.select("term", "part", "doc", "variant", "tf", "length").join(words, "term", "left_semi")
+    lists = lists.repartition(int(made // PAIRS) + 1, "doc")
+    here = lists.withColumnRenamed("variant", "_variant").join(index.docs.drop("length"), "doc")
+    here = here.where((F.col("_variant") - F.col("variant")) == 0)
     scored = (
         # Few and written, the query words are sent to the postings while they are small; their sizes are known.
-        rows.join(cut(asked), ["term", "part"])
+        here.join(asked, ["term", "part"])
         .filter(passes_filters())
-        .groupBy("query_id", "chunk_id", "source_id")
+        .groupBy("doc", "query_id", "chunk_id", "source_id")
         .agg(F.round(F.sum(share), cfg.score_digits).alias("score"), F.first("k").alias("k"))
         .filter(F.col("score") > 0)
     )

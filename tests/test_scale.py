@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import postings
+from tessera.operators.lexical import bm25_hits
 from workload.queries import _one_file_each
 
 
@@ -12,3 +14,45 @@ def test_one_file_each_is_written_by_many_tasks(spark):
     assert sorted(r.json.strip() for r in files) == sorted(f'{{"id":{i},"name":"n{i}"}}' for i in range(40))
     assert len({r.path.split("/part-")[1].split("-")[0] for r in files}) > 4
     assert spark.read.schema("id long, name string").json(folder).count() == 40
+
+
+def _kb(spark, rows):
+    """Chunk rows (chunk_id, source_id, domain, version, text) as far as the index reads them."""
+    chunks = spark.createDataFrame(rows, "chunk_id string, source_id string, domain string, version string, text string")
+    return chunks.withColumns({"title": F.lit(None).cast("string"), "entity_tags": F.array().cast("array<string>")})
+
+
+def test_postings_of_repeated_chunks(spark):
+    """Equal rows, rows equal but for their words, and rows that share an id only."""
+    rows = [
+        ("a", "s", "d", "v", "x y x"), ("a", "s", "d", "v", "x y x"), ("a", "s", "d", "v", "x z z"), ("a", "s", None, "v", "x y"),
+        (None, "s", "d", None, "y"), ("b", "t", "d", "v", ""), ("c", "t", "d", "v", None),
+    ]
+    want = {}
+    for chunk, source, domain, version, text in rows:
+        words = (text or "").split()
+        for word in ["", *words]:
+            key = (word, chunk, source, domain, version, len(words))
+            want[key] = 1 if word == "" else want.get(key, 0) + 1
+    index = postings.build_postings(_kb(spark, rows))
+    named = index.lists.join(index.docs.drop("length"), ["doc", "variant"])
+    got = {(r.term, r.chunk_id, r.source_id, r.domain, r.version, r.length): r.tf for r in named.collect()}
+    assert got == want and named.count() == len(want)
+    df = {}
+    for key in want:
+        df[key[0]] = df.get(key[0], 0) + 1
+    assert {r.term: r.df for r in index.stats.collect()} == df
+
+
+def test_postings_hold_numbers_and_scores_are_summed_where_chunks_are(spark, tmp_path):
+    """No text of a chunk is stored with its words, nor are pairs of queries and chunks shuffled before they are summed."""
+    chunks = _kb(spark, [(f"c{i}", f"s{i % 3}", "d", "v", f"gym hall{i % 5}") for i in range(50)])
+    index = postings.build_postings(chunks).write(f"{tmp_path}/index")
+    assert dict(index.lists.dtypes).get("term") == "string" and [c for c, t in index.lists.dtypes if t == "string"] == ["term"]
+    none = F.array().cast("array<string>")
+    asked = spark.range(4).select(F.col("id").alias("query_id"), F.concat(F.lit("gym hall"), "id").alias("query_text"), F.lit(3).alias("k"))
+    found = bm25_hits(chunks, asked.withColumns({"domains": none, "source_ids": none, "versions": none}), index=index)
+    assert found.count() == 12
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("query_id" in line and "chunk_id" in line for line in dealt)
