@@ -38,6 +38,10 @@ def text_sources(docs: DataFrame) -> DataFrame:
 
 def newest_sources(sources: DataFrame) -> DataFrame:
     """One row per source: the one of largest `arrival`, where that column is there; ties go to the larger hash."""
+    repeated = sources.groupBy("source_id").agg(F.count("*").alias("n")).where("n > 1").select("source_id")
+    # Where no source comes twice, no text or JSON has to be brought together.
+    if cut(repeated).isEmpty():
+        return sources
     newest = [F.desc_nulls_last("arrival")] if "arrival" in sources.columns else []
     return latest_per_key(sources, "source_id", [*newest, F.desc_nulls_last("source_hash")])
 
@@ -58,10 +62,12 @@ def incremental_ingest(
     several times the newest counts, see `newest_sources`. Without `clear_source` stored chunks stay,
     unless one of the same id has another text.
     """
-    sources = newest_sources(sources)
+    newest = newest_sources(sources)
+    # Sources that had to be picked are read twice below, so they are picked once.
+    sources = newest if newest is sources else cut(newest)
 
-    def chunks(todo: DataFrame) -> DataFrame:
-        rows = sources.join(todo, "source_id", "left_semi")
+    def chunks(status: DataFrame) -> DataFrame:
+        rows = changed_rows(sources, status)
         if "json" in sources.columns:
             rows = json_documents(rows.select("source_id", "title", "json"))
         rows = complete_documents(rows)
@@ -99,12 +105,26 @@ def ingest_qna(
         F.sha2(F.concat_ws(":", "_n", "_sum", "_xor"), 256).alias("source_hash"),
     )
 
-    def chunks(todo: DataFrame) -> DataFrame:
-        return qna_chunks(qna_blocks(pairs.join(todo, "source_id", "left_semi")), cfg.chunks)
+    def chunks(status: DataFrame) -> DataFrame:
+        return qna_chunks(qna_blocks(changed_rows(pairs, status)), cfg.chunks)
 
     return ingest_chunks(sources, chunks, table, manifest, cfg, incremental, clear_source, tagger, embed)
 
 
+def changed_rows(rows: DataFrame, status: DataFrame) -> DataFrame:
+    """Rows of the sources that are not `unchanged` in `status`, which has every source of the rows once.
+
+    They are found by the shorter list of sources, which Spark can often send to the rows; where all have changed
+    nothing is joined.
+    """
+    changed, same = (cut(status.where(c).select("source_id")) for c in (~F.col("unchanged"), F.col("unchanged")))
+    left, gone = changed.count(), same.count()
+    if gone > left:
+        return rows.join(changed, "source_id", "left_semi")
+    rows = rows.where(F.col("source_id").isNotNull())
+    return rows.join(same, "source_id", "left_anti") if gone else rows
+
+
 def ingest_chunks(
     sources: DataFrame,
     chunks: Callable[[DataFrame], DataFrame],
@@ -118,7 +138,7 @@ def ingest_chunks(
 ) -> IngestResult:
     """Ingest of sources (source_id, source_path, title, source_hash, one row each), of which `chunks` makes chunks.
 
-    `chunks` gets the ids of the changed sources. All of them are built in one plan. Their new rows
+    `chunks` gets the states of all sources, see `changed_rows`. All changed ones are built in one plan. Their new rows
     are complete before anything stored is touched, and the manifest is written last: a run that
     dies is simply run again.
     """
@@ -132,7 +152,7 @@ def ingest_chunks(
         status = status.withColumn("unchanged", F.lit(False))
     status = cut(status)
     changed = status.filter(~F.col("unchanged"))
-    fresh = chunks(changed.select("source_id"))
+    fresh = chunks(status.select("source_id", "unchanged"))
     if not clear_source:
         fresh = new_chunks_only(fresh, stored)
     records = cut(finish_records(fresh, cfg, tagger, embed))

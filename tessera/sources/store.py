@@ -12,9 +12,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.operators.upsert import upsert_rows, without_sources
 from tessera.schemas import CHUNK_RECORD, MANIFEST
+from tessera.sources.cut import cut
 
 BUCKET = "kb_bucket"
 DATA, POINTERS = "data", "pointers"
+# Stored rows are found by the keys that stay where those of new rows are so many times as many.
+FEW = 2
 
 
 @dataclass(frozen=True)
@@ -91,7 +94,7 @@ class KeyedTable:
         folder = f"written={uuid.uuid4().hex}"
         # Rebalancing splits a bucket that one large source has filled and packs small ones.
         spread = rows.select(*[f.name for f in self.schema], self.bucket().alias(BUCKET)).hint("rebalance", BUCKET)
-        spread.write.partitionBy(BUCKET).parquet(f"{self.path}/{DATA}/{folder}")
+        spread.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.path}/{DATA}/{folder}")
         return folder
 
     def _switch(self, folder: str, touched: list[int], base: tuple[int, int, dict[int, str]]) -> None:
@@ -114,16 +117,30 @@ class KeyedTable:
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"{self.path} was changed by another run")
 
+    def _rest(self, stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+        """Stored rows without most of those that `new` has keys of, where few keys stay; else all of them.
+
+        Which stay is seen from the keys alone, and a short list of them can be sent to the stored rows, which then need
+        not be shuffled with all their columns.
+        """
+        if not self._snapshot()[2]:
+            return stored
+        gone = new.select(key).distinct()
+        stay = cut(stored.select(key).distinct().join(gone, key, "left_anti").withColumnRenamed(key, "_stays"))
+        if stay.count() * FEW > gone.count():
+            return stored
+        return stored.join(stay, stored[key].eqNullSafe(stay["_stays"]), "left_semi")
+
     def upsert(self, new: DataFrame, newest: list[Column] | None = None) -> None:
         """Puts `new` in place of equal keys; `new` is evaluated twice, so write models' output first."""
         base, touched = self._snapshot(), self._touched(new)
-        current = self._stored(touched).drop(BUCKET)
+        current = self._rest(self._stored(touched).drop(BUCKET), new, self.key)
         self._switch(self._write(upsert_rows(current, new, self.key, newest)), touched, base)
 
     def replace_sources(self, new: DataFrame, sources: DataFrame) -> None:
         """Puts `new`, rows of listed sources, in place of all rows of these sources."""
         base, touched = self._snapshot(), self._touched(sources)
-        kept = without_sources(self._stored(touched).drop(BUCKET), sources)
+        kept = without_sources(self._rest(self._stored(touched).drop(BUCKET), sources, "source_id"), sources)
         self._switch(self._write(kept.unionByName(new.select(*[f.name for f in self.schema]))), touched, base)
 
     def delete_sources(self, sources: DataFrame) -> None:
