@@ -62,17 +62,18 @@ def bm25_hits(
     tf, length = F.col("tf"), F.col("length")
     share = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
     # Lists are dealt by chunk before they meet the queries: what is shuffled is a row per posting, not one per posting
-    # and query. There are as many tasks as the rows that come of it ask, so what a task sums fits its memory.
+    # and query, with numbers in place of words. There are as many tasks as the rows that come of it ask, so what a task sums fits its memory.
     df = index.stats.select("term", (F.col("df") / F.col("parts")).alias("df"))
     made = asked.join(df, "term").agg(F.sum("df").alias("n")).first()["n"] or 0
-    words = asked.select("term").distinct()
-    lists = index.lists.select("term", "part", "doc", "variant", "tf", "length").join(words, "term", "left_semi")
-    lists = lists.repartition(int(made // PAIRS) + 1, "doc")
-    here = lists.withColumnRenamed("variant", "_variant").join(index.docs.drop("length"), "doc")
+    words = cut(asked.select("term", "part").distinct().withColumn("word", F.monotonically_increasing_id()))
+    asked = asked.join(words, ["term", "part"])
+    lists = index.only(words).lists.select("word", "doc", F.col("variant").alias("_variant"), "tf")
+    lists = lists.repartition(max(2, int(made // PAIRS) + 1), "doc")
+    here = lists.join(index.docs.drop("base"), "doc")
     here = here.where((F.col("_variant") - F.col("variant")) == 0)
     scored = (
         # Few and written, the query words are sent to the postings while they are small; their sizes are known.
-        here.join(asked, ["term", "part"])
+        here.join(asked, "word")
         .filter(passes_filters())
         .groupBy("doc", "query_id", "chunk_id", "source_id")
         .agg(F.round(F.sum(share), cfg.score_digits).alias("score"), F.first("k").alias("k"))

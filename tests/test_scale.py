@@ -2,8 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tessera.llm.jaccard import Near, jaccard_components
+from tessera.llm.lines import removed_lines
 from tessera.operators import postings
 from tessera.operators.lexical import bm25_hits
+from tessera.plans.ingest import changed_rows, newest_sources
+from tessera.sources.cut import shared_folder, temporary_tables
+from tessera.sources.store import manifest_table
 from workload.queries import _one_file_each
 
 
@@ -56,3 +61,61 @@ def test_postings_hold_numbers_and_scores_are_summed_where_chunks_are(spark, tmp
     plan = found._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert dealt and not any("query_id" in line and "chunk_id" in line for line in dealt)
+
+
+def _tables(spark):
+    import os
+
+    return {name for name in os.listdir(shared_folder(spark).removeprefix("file:")) if name.startswith("tessera-")}
+
+
+def test_a_word_of_many_chunks_is_few_rows_and_a_build_leaves_few_tables(spark, tmp_path):
+    rows = [(f"c{i}", f"s{i % 3}", "d", "v", f"gym gym hall{i}") for i in range(40)] + [("c1", "s9", "d", "v", "gym")]
+    chunks, before = _kb(spark, rows), _tables(spark)
+    with temporary_tables(spark):
+        index = postings.build_postings(chunks).write(f"{tmp_path}/index")
+    assert _tables(spark) == before
+    gym = index.blocks.where("term = 'gym'")
+    assert gym.count() < 20 and gym.select(F.sum(F.size("at"))).first()[0] == 41
+    again = index.refreshed(_kb(spark, [("n1", "s1", "d", "v", "gym spa")]), spark.createDataFrame([("s1",), ("s9",)], "source_id string"))
+    left = {i for i in range(40) if i % 3 != 1}
+    got = again.lists.join(again.docs.drop("length", "base"), ["doc", "variant"]).where("term = 'gym'").collect()
+    assert {r.chunk_id for r in got} == {f"c{i}" for i in left} | {"n1"} and len(got) == len(left) + 1
+    assert {r.term: r.df for r in again.stats.collect()}["gym"] == len(left) + 1
+
+
+def test_tables_of_a_step_go_with_it(spark):
+    """Near copies and lines keep what their result reads, not the tables of the steps before."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    docs = spark.createDataFrame([(i, f"{text} {text[::-1]} {i % 4}") for i in range(12)], "doc_id long, text string")
+    before = _tables(spark)
+    assert {r.component_id for r in jaccard_components(docs, near=Near(3, 60, 100)).collect()} == {0}
+    middle = _tables(spark)
+    assert len(middle - before) <= 4
+    assert removed_lines(docs).count() == 11
+    assert len(_tables(spark) - middle) <= 1
+
+
+def test_sources_that_come_once_are_not_brought_together(spark):
+    once = spark.createDataFrame([("a", "h1"), ("b", "h2"), (None, "h3")], "source_id string, source_hash string")
+    assert newest_sources(once) is once
+    twice = newest_sources(once.unionByName(spark.createDataFrame([("a", "h9")], once.schema)))
+    assert {(r.source_id, r.source_hash) for r in twice.collect()} == {("a", "h9"), ("b", "h2"), (None, "h3")}
+    for states in ([False, False, False], [True, False, False], [True, True, False], [True, False, True]):
+        status = spark.createDataFrame(list(zip(["a", "b", None], states, strict=True)), "source_id string, unchanged boolean")
+        want = {s for s, same in zip("ab", states, strict=False) if not same}
+        assert {r.source_id for r in changed_rows(once, status).collect()} == want
+
+
+def test_stored_rows_that_stay_are_found_by_their_keys(spark, tmp_path):
+    """Few or many stored rows replaced, a null key among them."""
+    row = "source_id string, source_hash string, pipeline_hash string, pipeline_signature string, source_path string, records_in_db long, updated_at timestamp"
+    rows = lambda ids, mark: spark.createDataFrame([(i, mark, None, None, None, 1, None) for i in ids], row)
+    for ids in ("ab", "abcdefg"):
+        table = manifest_table(spark, f"{tmp_path}/{ids}", 2)
+        table.upsert(rows([*"abcdefgh", None], "old"))
+        table.upsert(rows(ids, "new"))
+        want = {(i, "new" if i in ids else "old") for i in "abcdefgh"} | {(None, "old")}
+        assert {(r.source_id, r.source_hash) for r in table.read().collect()} == want
+        stored = table._stored()
+        assert table._rest(stored, rows("abcdefg", "x"), "source_id").count() == 2 and table._rest(stored, rows("ab", "x"), "source_id").count() == 9
