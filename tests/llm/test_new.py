@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import anomaly, ranked
 from tessera.llm.alignment import align, terminals
+from tessera.llm.jaccard import jaccard_components
 
 TERM = re.compile(ranked.TERM)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,3 +280,12 @@ def test_bits_rule_out_no_similar_line(spark):
     assert near <= passed and len(near) > 20
     unlike = {k for k in sets if k % 2 == 0 and len(sets[k] | sets[k + 1]) <= 500 and 2 * len(sets[k] & sets[k + 1]) < len(sets[k] | sets[k + 1])}
     assert len(unlike) > 20 and not unlike & passed
+
+
+def test_jaccard_groups_too_large_for_a_task(docs_of):
+    """Pivots meet rows of the same table, on one level after the other; the rows are those of the join in one task."""
+    words = [f"w{i * 7 % 61}" for i in range(60)]
+    rows = [(i, " ".join([*words[: 60 - i // 8], *[f"x{i}"] * (i % 2)])) for i in range(24)] + [(40, "nothing of this"), (41, None)]
+    expected = sorted(map(tuple, jaccard_components(docs_of(rows)).collect()))
+    assert len({c for _, n, c in expected if n > 1}) < 24
+    assert sorted(map(tuple, jaccard_components(docs_of(rows), 3).collect())) == expected
