@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tessera.config import SearchConfig
 from tessera.functions.arrays import strings
 from tessera.functions.text import clean, tokens
 from tessera.operators.blockscan import HIT_COLUMNS, PhraseScorer, best_chunks
-from tessera.operators.postings import CORPUS, FILTER_COLUMNS, Postings, build_postings
+from tessera.operators.postings import CORPUS, FILTER_COLUMNS, Postings, build_postings, rounds_for
 from tessera.operators.topk import top_k
 from tessera.operators.unnest import unnest
 from tessera.sources.cut import cut
@@ -64,23 +66,33 @@ def bm25_hits(
     # Lists are dealt by chunk before they meet the queries: what is shuffled is a row per posting, not one per posting
     # and query, with numbers in place of words. There are as many tasks as the rows that come of it ask, so what a task sums fits its memory.
     df = index.stats.select("term", (F.col("df") / F.col("parts")).alias("df"))
-    made = asked.join(df, "term").agg(F.sum("df").alias("n")).first()["n"] or 0
+    counted = asked.groupBy("term", "part").agg(F.count("*").alias("times")).join(df, "term")
+    made, listed = counted.agg(F.sum(F.col("times") * F.col("df")), F.sum("df")).first()
     words = cut(asked.select("term", "part").distinct().withColumn("word", F.monotonically_increasing_id()))
     asked = asked.join(words, ["term", "part"])
-    lists = index.only(words).lists.select("word", "doc", F.col("variant").alias("_variant"), "tf")
-    lists = lists.repartition(max(2, int(made // PAIRS) + 1), "doc")
-    here = lists.join(index.docs.drop("base"), "doc")
-    here = here.where((F.col("_variant") - F.col("variant")) == 0)
-    scored = (
-        # Few and written, the query words are sent to the postings while they are small; their sizes are known.
-        here.join(asked, "word")
-        .filter(passes_filters())
-        .groupBy("doc", "query_id", "chunk_id", "source_id")
-        .agg(F.round(F.sum(share), cfg.score_digits).alias("score"), F.first("k").alias("k"))
-        .filter(F.col("score") > 0)
-    )
-    order = [F.desc("score"), F.col("chunk_id")]
-    return top_k(scored, ["query_id"], order, k="k").select(*HIT_COLUMNS)
+    order, rounds = [F.desc("score"), F.col("chunk_id")], rounds_for(listed or 0)
+
+    def best(some: Postings) -> DataFrame:
+        lists = some.lists.select("word", "doc", F.col("variant").alias("_variant"), "tf")
+        lists = lists.repartition(max(2, int((made or 0) / rounds // PAIRS) + 1), "doc")
+        here = lists.join(some.docs.drop("base"), "doc")
+        here = here.where((F.col("_variant") - F.col("variant")) == 0)
+        scored = (
+            # Few and written, the query words are sent to the postings while they are small; their sizes are known.
+            here.join(asked, "word")
+            .filter(passes_filters())
+            .groupBy("doc", "query_id", "chunk_id", "source_id")
+            .agg(F.round(F.sum(share), cfg.score_digits).alias("score"), F.first("k").alias("k"))
+            .filter(F.col("score") > 0)
+        )
+        return top_k(scored, ["query_id"], order, k="k")
+
+    index = index.only(words)
+    if rounds == 1:
+        return best(index).select(*HIT_COLUMNS)
+    # Chunks are taken in rounds, of each of which only its best are kept, so few postings are in shuffle files at once.
+    found = [cut(best(index.turn(n, rounds)).select("query_id", "chunk_id", "source_id", "score", "k")) for n in range(rounds)]
+    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], order, k="k").select(*HIT_COLUMNS)
 
 
 def weighted_terms(wanted: DataFrame, stats: DataFrame) -> DataFrame:

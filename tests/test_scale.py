@@ -119,3 +119,25 @@ def test_stored_rows_that_stay_are_found_by_their_keys(spark, tmp_path):
         assert {(r.source_id, r.source_hash) for r in table.read().collect()} == want
         stored = table._stored()
         assert table._rest(stored, rows("abcdefg", "x"), "source_id").count() == 2 and table._rest(stored, rows("ab", "x"), "source_id").count() == 9
+
+
+def test_postings_are_shuffled_in_rounds(spark, tmp_path, monkeypatch):
+    """An index is written, and searched, in rounds of some of its postings, with the rows of one round."""
+    rows = [(f"c{i}", f"s{i % 7}", "d" if i % 3 else None, "v", f"gym hall{i % 5} " + "spa " * (i % 4)) for i in range(60)]
+    chunks = _kb(spark, [*rows, ("c1", "s9", "d", "v", "gym"), ("c1", "s9", "d", "w", "gym pool")])
+    none = F.array().cast("array<string>")
+    asked = spark.range(5).select(F.col("id").alias("query_id"), F.concat(F.lit("gym spa hall"), "id").alias("query_text"), F.lit(7).alias("k"))
+    asked = asked.withColumns({"domains": F.when(F.col("query_id") == 2, F.array(F.lit("d"))).otherwise(none), "source_ids": none, "versions": none})
+
+    def found(folder):
+        index = postings.build_postings(chunks).write(f"{tmp_path}/{folder}", 8)
+        assert index.blocks.count() == postings.build_postings(chunks).blocks.count()
+        hits = bm25_hits(chunks, asked, index=index)
+        files = {r[0].split("/")[-1].split("-")[2] for r in index.blocks.select(F.input_file_name()).distinct().collect()}
+        return sorted(map(tuple, hits.collect())), len(files)
+
+    one, files = found("one")
+    assert len(one) == 35 and files == 1
+    monkeypatch.setattr(postings, "ROUND_POSTINGS", 60)
+    several, files = found("several")
+    assert several == one and files > 1
