@@ -73,7 +73,7 @@ def bm25_hits(
     order, rounds = [F.desc("score"), F.col("chunk_id")], rounds_for(listed or 0)
 
     def best(some: Postings) -> DataFrame:
-        lists = some.lists.select("word", "doc", F.col("variant").alias("_variant"), "tf")
+        lists = some.occurrences.select("word", "doc", F.col("variant").alias("_variant"), "tf")
         lists = lists.repartition(max(2, int((made or 0) / rounds // PAIRS) + 1), "doc")
         here = lists.join(some.docs.drop("base"), "doc")
         here = here.where((F.col("_variant") - F.col("variant")) == 0)

@@ -141,3 +141,20 @@ def test_postings_are_shuffled_in_rounds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "ROUND_POSTINGS", 60)
     several, files = found("several")
     assert several == one and files > 1
+
+
+def test_an_index_holds_no_lengths_beside_words(spark, tmp_path, monkeypatch):
+    """Lengths stand once per chunk; numbers of words are right after chunks of cut lists went and others came."""
+    monkeypatch.setattr(postings, "PART_ROWS", 9)
+    rows = [(f"c{i}", f"s{i % 3}", "d", "v", "gym " + "spa " * (i % 4)) for i in range(40)] + [("c1", "s9", "d", "v", "gym"), ("e", "s1", "d", "v", "")]
+    new = [("n1", "s1", "d", "v", "gym pool pool")]
+    index = postings.build_postings(_kb(spark, rows)).write(f"{tmp_path}/index")
+    assert "length" not in index.blocks.columns and "length" not in index.occurrences.columns
+    again = index.refreshed(_kb(spark, new), spark.createDataFrame([("s1",), ("s9",)], "source_id string"))
+    built = postings.build_postings(_kb(spark, [r for r in rows if r[1] not in ("s1", "s9")] + new))
+    counted = lambda i: {(r.term, r.df, r.tokens, r.parts) for r in i.stats.collect()}
+    assert counted(again) == counted(built) and len(counted(again)) == 4
+    said = lambda i: sorted((r.term, r.chunk_id, r.length, r.tf) for r in i.rows.collect())
+    assert said(again) == said(built)
+    gone = again.write(f"{tmp_path}/next").refreshed(_kb(spark, []), spark.createDataFrame([(f"s{i}",) for i in range(3)], "source_id string"))
+    assert gone.stats.count() == 0 and gone.blocks.count() == 0
