@@ -9,7 +9,7 @@ from tessera.operators.lexical import bm25_hits
 from tessera.plans.ingest import changed_rows, newest_sources
 from tessera.sources.cut import shared_folder, temporary_tables
 from tessera.sources.store import manifest_table
-from workload.queries import _one_file_each
+from workload.queries import _customers, _one_file_each
 
 
 def test_one_file_each_is_written_by_many_tasks(spark):
@@ -158,3 +158,9 @@ def test_an_index_holds_no_lengths_beside_words(spark, tmp_path, monkeypatch):
     assert said(again) == said(built)
     gone = again.write(f"{tmp_path}/next").refreshed(_kb(spark, []), spark.createDataFrame([(f"s{i}",) for i in range(3)], "source_id string"))
     assert gone.stats.count() == 0 and gone.blocks.count() == 0
+
+
+def test_customers_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = _customers(spark, str(tmp_path)).select("c_custkey", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.c_custkey for r in rows) == list(range(100)) and len({r.task for r in rows}) > 1
